@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chainweft.functions.identity import address
 from chainweft.llm.encoding import garbled_documents, restored_documents
 from chainweft.llm.groups import connected_groups
+from chainweft.llm.leakage import leaked_items
+from chainweft.llm.mixing import Mix, plan_mix, reached_shares
 from chainweft.sources.tables import table
 
 
@@ -17,6 +19,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(links, "a", "b").select(F.col("member").alias("address"), F.col("label").alias("group_address"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that carry part of a held-out item, with the item."""
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "bench_items"), "item_id", "text")
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    language = F.lower(F.substring(F.trim("lang"), 1, 2))
+    return plan_mix(table(spark, folder, "documents"), "doc_id", "text", F.col("source"), table(spark, folder, "mix_targets"), {"language": language})
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't reach their share."""
+    short = [(t["source"],) for t in _mix(spark, folder).report if t["short"]]
+    return spark.createDataFrame(short, "source string")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix drawn to the target shares: what each source was to have and what it has."""
+    return reached_shares(_mix(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that were decoded with a wrong encoding, wholly or in part."""
     return garbled_documents(table(spark, folder, "documents"), "doc_id", "text")
@@ -27,7 +50,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restored_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLES = {
     "p3_found": """WITH RECURSIVE
