@@ -154,7 +154,7 @@ def neighbour_sample(spark, folder):
 def neighbour_means(spark, folder):
     """Mean risk of the wallets that sent to each wallet."""
     rows = graph.neighbour_means(_edges(spark, folder), _risk(spark, folder).select("address", "risk"), ["risk"])
-    return rows.withColumn("risk", F.round("risk", 4))
+    return rows.withColumn("risk", F.round("risk", 12))
 
 
 def edge_index(spark, folder):
@@ -352,7 +352,7 @@ ORACLES = {
     "risk_spread": f"WITH {EDGE}, {RISK}, up AS (SELECT src AS address, max(risk) * 0.5 AS r FROM edge JOIN risk ON risk.address = edge.dst AND is_flagged GROUP BY 1) SELECT address, round(greatest(risk, r), 6) AS risk FROM risk LEFT JOIN up USING (address)",
     "group_risk": f"WITH {RISK}, top AS (SELECT cluster_id, max(risk) AS group_risk FROM risk WHERE cluster_id IS NOT NULL GROUP BY 1) SELECT address, cluster_id, round(group_risk, 6) AS group_risk, round(CASE WHEN group_risk > 0.5 THEN greatest(risk, group_risk * 0.7) ELSE risk END, 6) AS risk FROM risk LEFT JOIN top USING (cluster_id)",
     "neighbour_sample": f"WITH {EDGE} SELECT dst, src FROM edge QUALIFY row_number() OVER (PARTITION BY dst ORDER BY sha256('0|' || src || '|' || dst), src) <= 5",
-    "neighbour_means": f"WITH {EDGE}, {RISK} SELECT dst AS address, round(avg(risk), 4) AS risk FROM edge JOIN risk ON risk.address = edge.src GROUP BY 1",
+    "neighbour_means": f"WITH {EDGE}, {RISK} SELECT dst AS address, round(avg(risk), 12) AS risk FROM edge JOIN risk ON risk.address = edge.src GROUP BY 1",
     "edge_index": f"WITH {EDGE}, num AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS id FROM (SELECT src AS a FROM edge UNION SELECT dst FROM edge)) SELECT s.id AS src_id, d.id AS dst_id FROM edge JOIN num s ON s.a = src JOIN num d ON d.a = dst",
     "chains_by_address": f"WITH {CHAINS} SELECT * FROM chains",
     "multi_chain_wallets": f"WITH {CHAINS} SELECT address, n_chains FROM chains WHERE n_chains > 1",
@@ -367,7 +367,7 @@ ORACLES = {
     "rate_5m": f"WITH {TX} SELECT chain, block_timestamp // 300 * 300 AS start, count(*) AS n, round(count(*) / 300.0, 6)::DOUBLE AS rate FROM tx GROUP BY 1, 2",
     "mean_shift_24h": f"WITH {TX}, h AS (SELECT chain, block_timestamp // 3600 AS hour, avg(gas) AS mean FROM tx GROUP BY 1, 2) SELECT a.chain, a.hour, round(a.mean - b.mean, 3) AS shift FROM h a JOIN h b ON a.chain = b.chain AND a.hour = b.hour + 24",
     "le_buckets": f"WITH {TX} SELECT chain, le, count(*) AS n FROM tx, (VALUES " + ", ".join(f"('{b}', {b})" for b in GAS_BUCKETS) + ", ('+Inf', 9223372036854775807)) b(le, up) WHERE gas <= up GROUP BY 1, 2",
-    "bucket_quantile": f"WITH {TX}, c AS (SELECT chain, count(gas) * 0.9::DOUBLE AS r, list_transform({[0, *GAS_BUCKETS]}, b -> 0) AS z FROM tx GROUP BY 1), b AS (SELECT chain, e.i, e.b AS up, count(*) FILTER (gas <= e.b) AS n FROM tx, (SELECT unnest(range(7)) AS i, unnest({[0, *GAS_BUCKETS]}) AS b) e GROUP BY ALL), w AS (SELECT b.*, r, coalesce(lag(up) OVER p, 0) AS low, coalesce(CASE WHEN lag(up) OVER p > 0 THEN lag(n) OVER p END, 0) AS below FROM b JOIN c USING (chain) WINDOW p AS (PARTITION BY chain ORDER BY i)) SELECT chain, round(coalesce(min(low + (up - low) * (r - below) / nullif(n - below, 0)) FILTER (i > 0 AND n >= r AND below < r), 1000000.0), 3)::DOUBLE AS p90 FROM w GROUP BY 1",
+    "bucket_quantile": f"WITH {TX}, c AS (SELECT chain, count(gas) * 0.9::DOUBLE AS r FROM tx GROUP BY 1), b AS (SELECT chain, e.i, e.b AS up, count(*) FILTER (gas <= e.b) AS n FROM tx, (SELECT unnest(range(7)) AS i, unnest({[0, *GAS_BUCKETS]}) AS b) e GROUP BY ALL), w AS (SELECT b.*, r, coalesce(lag(up) OVER p, 0) AS low, coalesce(CASE WHEN lag(up) OVER p > 0 THEN lag(n) OVER p END, 0) AS below FROM b JOIN c USING (chain) WINDOW p AS (PARTITION BY chain ORDER BY i)) SELECT chain, round(coalesce(min(low + (up - low) * (r - below) / nullif(n - below, 0)) FILTER (i > 0 AND n >= r AND below < r), 1000000.0), 3)::DOUBLE AS p90 FROM w GROUP BY 1",
     "score_histogram": f"WITH {RISK}, b AS (SELECT is_flagged, {_BIN20} AS bin FROM risk WHERE risk BETWEEN 0 AND 1), d AS (SELECT DISTINCT is_flagged FROM risk) SELECT d.is_flagged, r.i::INT AS bin, count(b.bin) AS n FROM d CROSS JOIN range(20) r(i) LEFT JOIN b ON b.is_flagged = d.is_flagged AND b.bin = r.i GROUP BY 1, 2",
     "score_drift": f"""WITH b AS (SELECT {_BIN10} AS bin, coalesce(lower(chain_name) = 'polygon-mainnet', false) AS live FROM tx_features WHERE gas_price_percentile BETWEEN 0 AND 1),
 p AS (SELECT i, greatest(count(*) FILTER (NOT live) / greatest((SELECT count(*) FROM b WHERE NOT live), 1), 1e-6) AS q, greatest(count(*) FILTER (live) / greatest((SELECT count(*) FROM b WHERE live), 1), 1e-6) AS l FROM range(10) r(i) LEFT JOIN b ON bin = i GROUP BY 1),

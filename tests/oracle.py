@@ -21,7 +21,7 @@ def canonical(value):
     if value is None or value is False or value is True:
         return value
     if isinstance(value, float):
-        return None if math.isnan(value) else ("f", round(value, 6) + 0.0)
+        return None if math.isnan(value) else ("f", f"{value + 0.0:.11g}")
     if isinstance(value, (list, tuple)):
         return tuple(canonical(v) for v in value)
     if hasattr(value, "isoformat"):
