@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainweft.functions.identity import ether
 from chainweft.functions.scalars import canonical_json, flag, top_by_size
-from chainweft.operators import distribution, graph, learning, scanner, transactions, velocity
+from chainweft.operators import distribution, graph, learning, scanner, scoring, transactions, velocity
 from chainweft.plans.ledger import EDGE, TX, _GAP, _WIN
 from chainweft.sources import messages
 from chainweft.sources.tables import table
@@ -141,6 +141,31 @@ def latest_links(spark, folder):
     return rows.groupBy(pair.alias("pair")).agg(F.max(F.struct("link_id", "is_match"))["is_match"].alias("is_match"), (F.count(F.lit(1)) - 1).alias("updates"))
 
 
+_WEIGHTS = {"percentile": 0.5, "cluster": 0.3, "activity": 0.2}
+_STEPS = [(0.6, "high"), (0.4, "middle")]
+
+
+def combined_scores(spark, folder):
+    """A weighted mean of three scores of each feature row, of which some are missing, with its label and agreement."""
+    scores = {"percentile": F.nanvl("gas_price_percentile", F.lit(None).cast("double")), "cluster": F.nanvl("cluster_risk_score", F.lit(None).cast("double")), "activity": F.least(F.lit(1.0), F.nanvl("tx_count_1h", F.lit(None).cast("double")) / 20)}
+    score = scoring.combined(scores, _WEIGHTS)
+    return _features(spark, folder).select("tx_hash", F.round(score, 10).alias("score"), scoring.label(F.round(score, 10), _STEPS, "low").alias("label"), F.round(scoring.agreement(list(scores.values())), 10).alias("agreement"), scoring.leading(scores).alias("leading"))
+
+
+def decayed_links(spark, folder):
+    """The hundred links of highest score, decayed by a tenth for each day before the newest link."""
+    rows = table(spark, folder, "wallet_links").where(F.col("score").isNotNull() & F.col("linked_at").isNotNull())
+    age = rows.agg(F.max(F.unix_timestamp("linked_at"))).scalar() - F.unix_timestamp("linked_at")
+    ranked = rows.select("link_id", F.round(scoring.decayed(F.col("score"), age, 0.9, 86400.0, 3600.0), 9).alias("priority"))
+    return ranked.orderBy(F.desc("priority"), "link_id").limit(100)
+
+
+def kept_links(spark, folder):
+    """At most two hundred links: those with evidence of a shared deposit, then the highest scores."""
+    rows = table(spark, folder, "wallet_links").where(F.col("score").isNotNull()).select("link_id", "evidence", "score")
+    return scoring.kept(rows, (F.col("evidence") == "shared_deposit") & (F.col("score") > 0.9), F.col("score"), "link_id", 200)
+
+
 def stream_velocity(spark, folder):
     """``velocity_on_arrival`` as a stream."""
     rows = transactions.normalise(pipelines.stream_of(spark, folder, "chain_tx"))
@@ -168,7 +193,7 @@ def stream_latest(spark, folder):
     return pipelines.run_to_end(pipelines.latest_state(pairs, "pair", "link_id", "verdict"), "complete").select("pair", "verdict.is_match", "updates")
 
 
-_NAMES = [feature_vectors, feature_moments, class_separation, standardised, min_max_scores, class_weights, isolation_scores, reconstruction_errors, call_model, call_model_reasons, nearest_vectors, source_findings, source_risk, findings_by_severity, bytecode_risk, payload_hash, topic_counts, last_links, latest_links, stream_velocity, stream_distinct, stream_rates, stream_latest]
+_NAMES = [feature_vectors, feature_moments, class_separation, standardised, min_max_scores, class_weights, isolation_scores, reconstruction_errors, call_model, call_model_reasons, nearest_vectors, source_findings, source_risk, findings_by_severity, bytecode_risk, payload_hash, topic_counts, last_links, latest_links, combined_scores, decayed_links, kept_links, stream_velocity, stream_distinct, stream_rates, stream_latest]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _X = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
@@ -208,6 +233,13 @@ SELECT seq, tx_hash, sender, chain, round(value_eth, 6) AS value_eth, round(log_
     "topic_counts": "SELECT CASE WHEN lower(trim(chain_name)) = 'polygon-mainnet' THEN 'raw.transactions.polygon' ELSE 'raw.transactions.ethereum' END AS topic, count(*) AS n, sum(value_wei)::DECIMAL(38,0)::DOUBLE AS value_wei FROM chain_tx GROUP BY 1",
     "last_links": "SELECT link_id, coalesce(evidence, 'none') AS evidence FROM wallet_links QUALIFY row_number() OVER (PARTITION BY coalesce(evidence, 'none') ORDER BY link_id DESC) <= 5",
     "latest_links": "SELECT lower(from_addr) || '>' || lower(to_addr) AS pair, last(is_match ORDER BY link_id) AS is_match, count(*) - 1 AS updates FROM wallet_links WHERE from_addr IS NOT NULL AND to_addr IS NOT NULL GROUP BY 1",
+    "combined_scores": f"""WITH x AS (SELECT tx_hash, CASE WHEN p >= 0 THEN p END AS p, CASE WHEN c >= 0 THEN c END AS c, CASE WHEN a >= 0 THEN a END AS a FROM (SELECT tx_hash, {_X.format('gas_price_percentile')} AS p, {_X.format('cluster_risk_score')} AS c, CASE WHEN {_X.format('tx_count_1h')} IS NULL THEN 1.0 ELSE least(1.0, tx_count_1h / 20) END AS a FROM tx_features)),
+s AS (SELECT *, round(coalesce((coalesce(p * 0.5, 0) + coalesce(c * 0.3, 0) + coalesce(a * 0.2, 0)) / nullif((p IS NOT NULL)::INT * 0.5::DOUBLE + (c IS NOT NULL)::INT * 0.3::DOUBLE + (a IS NOT NULL)::INT * 0.2::DOUBLE, 0), 0), 10) AS score, (coalesce(p, 0) + coalesce(c, 0) + coalesce(a, 0)) / nullif((p IS NOT NULL)::INT + (c IS NOT NULL)::INT + (a IS NOT NULL)::INT, 0) AS mean FROM x)
+SELECT tx_hash, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'middle' ELSE 'low' END AS label,
+round(coalesce((coalesce(((p >= 0.5) = (mean >= 0.5))::INT, 0) + coalesce(((c >= 0.5) = (mean >= 0.5))::INT, 0) + coalesce(((a >= 0.5) = (mean >= 0.5))::INT, 0)) / nullif((p IS NOT NULL)::INT + (c IS NOT NULL)::INT + (a IS NOT NULL)::INT, 0), 0), 10) AS agreement,
+CASE greatest(p, c, a) WHEN p THEN 'percentile' WHEN c THEN 'cluster' WHEN a THEN 'activity' END AS leading FROM s""",
+    "decayed_links": "SELECT link_id, round(score * pow(0.9, greatest(0.0, ((SELECT max(epoch(linked_at)::BIGINT) FROM wallet_links WHERE score IS NOT NULL) - epoch(linked_at)::BIGINT - 3600) / 86400.0)), 9) AS priority FROM wallet_links WHERE score IS NOT NULL AND linked_at IS NOT NULL ORDER BY priority DESC, link_id LIMIT 100",
+    "kept_links": "WITH r AS (SELECT link_id, evidence, score, coalesce(evidence = 'shared_deposit' AND score > 0.9, false) AS safe FROM wallet_links WHERE score IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY score DESC, link_id) AS n, count(*) FILTER (safe) OVER () AS many FROM r) SELECT link_id, evidence, score FROM k WHERE safe OR n <= greatest(0, 200 - many)",
     "stream_distinct": f"WITH {TX} SELECT tx_hash FROM tx",
     "stream_rates": "SELECT lower(chain_name) AS chain, block_timestamp // 86400 * 86400 AS start, count(*) AS n FROM chain_tx GROUP BY 1, 2",
     "stream_latest": "SELECT lower(from_addr) || '>' || lower(to_addr) AS pair, last(is_match ORDER BY link_id) AS is_match, count(*) - 1 AS updates FROM wallet_links WHERE from_addr IS NOT NULL AND to_addr IS NOT NULL GROUP BY 1",

@@ -58,7 +58,7 @@ def address_json(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], "address string")
     rows = spark.read.schema("addresses array<string>").option("multiLine", True).json(path)
-    return rows.select(F.lower(F.trim(F.explode("addresses"))).alias("address")).where(F.length("address") > 0).distinct()
+    return rows.select(F.explode("addresses").alias("address")).select(F.lower(F.trim("address")).alias("address")).where(F.length("address") > 0).distinct()
 
 
 def address_lines(spark: SparkSession, path: str) -> DataFrame:

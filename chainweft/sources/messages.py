@@ -31,7 +31,7 @@ def topic(name: Column) -> Column:
 
 def to_messages(rows: DataFrame) -> DataFrame:
     """(topic, key, value): the payload of each row as JSON, keyed by sender."""
-    return rows.select(topic(F.col("chain_name")).alias("topic"), F.col("from_addr").alias("key"), F.to_json(F.struct(*(F.col(f.name).cast(f.dataType) for f in PAYLOAD))).alias("value"))
+    return rows.select(topic(F.col("chain_name")).alias("topic"), F.col("from_addr").alias("key"), F.to_json(F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAYLOAD))).alias("value"))
 
 
 def from_messages(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
