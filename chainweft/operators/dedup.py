@@ -4,7 +4,8 @@ An identifier of 32 bytes is permuted by an invertible mix, so clustered identif
 equal. Its leading bits, the quotient, choose the shard; the shard's table keeps the complete rest beside the quotient
 and compares all of it, so there are no false matches. Each map task first inserts its own rows into such a table:
 copies that meet there never reach the shuffle, which keeps an identifier that holds a large share of all rows from
-loading one shard. Only one shuffle is needed, and every shard's table holds only that shard's identifiers.
+loading one shard. Only one shuffle is needed. Rows of a shard lie together in their partition, so a table is held for a
+few whole shards at a time: memory depends on the size of a shard, not on how many of them a task gets.
 
 Defined cases: letter case, outer blanks and a leading ``0x`` of an identifier carry no meaning. Identifiers that
 aren't 32 bytes of hexadecimal text are compared as such text, exactly. A null identifier names no message: its rows
@@ -227,43 +228,42 @@ def _shard_rows(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list, np.ndarr
     return words, fixed, other, _numbers(block["__order"]), _numbers(block["__tie"], 0)
 
 
-def _shard_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Order values of the repeats of one shard."""
-    seen = _Distinct()
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Cuts rows in order of quotient into tables of whole shards."""
+    rest: pa.Table | None = None
     for block in _blocks(batches):
-        done = block["__done"].to_numpy()
+        table = block if rest is None else pa.concat_tables([rest, block])
+        quotient = table["__quotient"].to_numpy()
+        cut = int(np.searchsorted(quotient, quotient[-1]))
+        rest = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _shard_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Order values of the repeats in each shard."""
+    for shards in _whole_shards(batches):
+        done = shards["__done"].to_numpy()
         if done.any():
-            yield from block.filter(pa.array(done)).select(["__order"]).combine_chunks().to_batches()
-            block = block.filter(pa.array(~done))
-        words, fixed, other, order, tie = _shard_rows(block)
-        lost = seen.add(words, fixed, other, order, tie, order)
+            yield from shards.filter(pa.array(done)).select(["__order"]).combine_chunks().to_batches()
+            shards = shards.filter(pa.array(~done))
+        words, fixed, other, order, tie = _shard_rows(shards)
+        lost = _Distinct().add(words, fixed, other, order, tie, order)
         if len(lost):
             yield pa.record_batch({"__order": pa.array(lost, mask=lost == LAST)})
 
 
 def _shard_firsts(carried: list[str]):
-    """The carried columns of the first rows of one shard."""
+    """The carried columns of the first rows in each shard; rows without identifier are all kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, count = _Distinct(), [], 0
-        for block in _blocks(batches):
-            words, fixed, other, order, tie = _shard_rows(block)
-            named = fixed.copy()
-            for i in np.flatnonzero(~fixed):
-                named[i] = other[i] is not None
-            payload = block.select(carried)
-            if not named.all():
-                yield from payload.filter(pa.array(~named)).combine_chunks().to_batches()
-            seen.add(words, fixed, other, order, tie, np.arange(count, count + block.num_rows))
-            held.append(payload)
-            count += block.num_rows
-        if held:
-            rows = np.concatenate([seen.table.rows(), np.array([x[2] for x in seen.others.values()], np.int64)])
-            rows.sort()
-            starts = np.cumsum([0, *(t.num_rows for t in held)])
-            for k, payload in enumerate(held):
-                mine = rows[(rows >= starts[k]) & (rows < starts[k + 1])] - starts[k]
-                yield from payload.take(pa.array(mine)).combine_chunks().to_batches()
+        for shards in _whole_shards(batches):
+            words, fixed, other, order, tie = _shard_rows(shards)
+            keep = np.ones(shards.num_rows, bool)
+            keep[_Distinct().add(words, fixed, other, order, tie, np.arange(shards.num_rows))] = False
+            yield from shards.select(carried).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
@@ -287,7 +287,7 @@ def _sharded(df: DataFrame, id_col: str, order_col: str, want_repeats: bool, car
         + [T.StructField("__order", long), T.StructField("__tie", long)]
         + [T.StructField(f"__c{k}", df.schema[c].dataType) for k, c in enumerate(carried)]
     )
-    return slim.mapInArrow(_map_side(want_repeats, names), schema).repartition("__quotient")
+    return slim.mapInArrow(_map_side(want_repeats, names), schema).repartition("__quotient").sortWithinPartitions("__quotient")
 
 
 def repeated_messages(df: DataFrame, id_col: str, order_col: str) -> DataFrame:

@@ -124,7 +124,7 @@ def rolling_totals(daily: DataFrame, entities: DataFrame | None, first_day: date
     takes all of ``daily``. Returns (entity, day date, n_Wd, total_Wd for each window of W days, peak).
     """
     start = (first_day - date(1970, 1, 1)).days
-    active = daily.groupBy("entity").agg(F.collect_list(F.struct("day", "n", "total", "peak")).alias("active"))
+    active = daily.where(F.col("day").between(start, start + days - 1)).groupBy("entity").agg(F.collect_list(F.struct("day", "n", "total", "peak")).alias("active"))
     if entities is not None:
         active = entities.join(active, "entity", "left").withColumn("active", F.coalesce("active", F.array().cast(active.schema["active"].dataType)))
     schema = "entity string, day int, " + "".join(f"n_{w}d long, total_{w}d decimal(38,0), " for w in windows) + "peak long"

@@ -374,6 +374,6 @@ p AS (SELECT i, greatest(count(*) FILTER (NOT live) / greatest((SELECT count(*)
 s AS (SELECT sum((l - q) * ln(l / q)) AS psi FROM p) SELECT round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS drift FROM s""",
     "threshold_sweep": f"WITH {_SWEEP} SELECT * FROM sweep",
     "best_threshold": f"WITH {_SWEEP} SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1",
-    "ranked_quality": f"WITH {_CURVE} SELECT round(sum(p * up / (up + un)) / sum(p), 6) AS average_precision, round(sum(n * (up - p / 2)) / (sum(p) * sum(n)), 6) AS roc_auc FROM curve",
+    "ranked_quality": f"WITH {_CURVE} SELECT round(coalesce(sum(p * up / (up + un)) / nullif(sum(p), 0), 0), 6) AS average_precision, round(coalesce(sum(n * (up - p / 2)) / nullif(sum(p) * sum(n), 0), 0), 6) AS roc_auc FROM curve",
     "precision_threshold": f"WITH {_CURVE} SELECT coalesce(min(risk), 0.5) AS threshold FROM curve WHERE up >= 0.3 * (up + un)",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -46,6 +48,12 @@ class WrittenTables:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        atexit.register(self._clear)
+
+    def _clear(self) -> None:
+        """Deletes all of these tables as the process ends, if the session is still there."""
+        with contextlib.suppress(Exception):
+            self.drop(self.root)
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Writes ``df`` and returns it as read back, with its path."""
