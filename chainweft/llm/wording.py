@@ -12,6 +12,8 @@ LOOKALIKE = "АВЕКМНОРСТУХаеорсухіјѕһԁԛԝΑΒΕΖΗΙΚ
 LOOKED_AT = "ABEKMHOPCTYXaeopcyxijshdqwABEZHIKMNOPTYXkoaviptux"
 
 _FOLD = str.maketrans(LOOKALIKE, LOOKED_AT)
+_LOOK = re.compile(f"[{LOOKALIKE}]")
+_ACCENT = re.compile(r"[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPE = re.compile(r"\\[nrtbf]")
@@ -36,7 +38,9 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).translate(_FOLD)
+        text = _ACCENT.sub("", text)
+        if _LOOK.search(text):
+            text = text.translate(_FOLD)
     return _APOSTROPHE.sub("", _BROKEN_WORD.sub("", text)).lower()
 
 
