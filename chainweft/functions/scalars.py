@@ -49,3 +49,16 @@ def ratio(part: Column, whole: Column) -> Column:
 def canonical_json(columns: list[str]) -> Column:
     """Compact JSON of the columns with its keys in order; nulls are left out."""
     return F.to_json(F.struct(*sorted(columns)))
+
+
+def first_prefix(c: Column, rules: list[tuple[str, int]], default: int) -> Column:
+    """The value of the first rule whose prefix the text begins with."""
+    out = F.lit(default)
+    for prefix, value in reversed(rules):
+        out = F.when(c.startswith(prefix), value).otherwise(out)
+    return out
+
+
+def bounded_width(value: Column, scale: float = 2.0, low: float = 1.0, high: float = 5.0) -> Column:
+    """A drawing width in proportion to a value, within bounds."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), value * scale))

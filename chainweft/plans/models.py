@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainweft.functions.identity import ether
-from chainweft.functions.scalars import canonical_json, flag, top_by_size
-from chainweft.operators import distribution, graph, learning, scanner, scoring, transactions, velocity
+from chainweft.functions.scalars import bounded_width, canonical_json, flag, top_by_size, unit
+from chainweft.operators import crosschain, distribution, graph, learning, scanner, scoring, transactions, velocity
 from chainweft.plans.ledger import EDGE, TX, _GAP, _WIN
+from chainweft.session import WrittenTables
 from chainweft.sources import messages
 from chainweft.sources.tables import table
 from chainweft.streaming import pipelines
@@ -166,6 +167,60 @@ def kept_links(spark, folder):
     return scoring.kept(rows, (F.col("evidence") == "shared_deposit") & (F.col("score") > 0.9), F.col("score"), "link_id", 200)
 
 
+def _wallets(spark, folder):
+    return table(spark, folder, "wallets").select(F.lower("address").alias("address"), F.col("risk_score").alias("risk"), F.coalesce("is_flagged", F.lit(False)).alias("is_flagged"))
+
+
+def wallet_report(spark, folder):
+    """For every stored wallet its totals, degrees, round trips within a day and chains, in one row."""
+    columns = ["seq", "sender", "recipient", "value_wei", "block_timestamp", "chain"]
+    tx, _ = WrittenTables(spark, "report").write(transactions.distinct_transactions(table(spark, folder, "chain_tx"), columns))
+    edge = graph.edges(tx)
+    trips = graph.round_trips(edge).groupBy("address").agg(F.count(F.lit(1)).alias("round_trips"))
+    rows = _wallets(spark, folder).join(graph.wallet_totals(tx), "address", "left").join(graph.degrees(edge), "address", "left").join(trips, "address", "left").join(crosschain.chains_by_address(tx), "address", "left")
+    zero = F.lit(0).cast("long")
+    return rows.select("address", F.round("risk", 6).alias("risk"), "is_flagged", *(F.coalesce(c, zero).alias(c) for c in ("tx_count", "out_degree", "in_degree", "round_trips", "n_chains")), F.round(F.coalesce("total_value_eth", F.lit(0.0)), 6).alias("total_value_eth"), F.round(F.coalesce("centrality", F.lit(0.0)), 6).alias("centrality"))
+
+
+def scored_transactions(spark, folder):
+    """Every distinct transaction scored from its features, its sender's stored risk and its sender's activity."""
+    features = feature_vectors(spark, folder).select("seq", "sender", "chain", "tx_count_1h", "in_degree", "out_degree")
+    rows = features.join(_wallets(spark, folder).select(F.col("address").alias("sender"), "risk"), "sender", "left")
+    scores = {"risk": F.col("risk"), "centrality": F.least(F.lit(1.0), (F.col("in_degree") + F.col("out_degree")) / 100.0), "velocity": F.least(F.lit(1.0), F.col("tx_count_1h") / 20.0)}
+    score = F.round(scoring.combined(scores, {"risk": 0.5, "centrality": 0.3, "velocity": 0.2}), 10)
+    return rows.select("seq", "sender", "chain", score.alias("score"), scoring.label(score, [(0.6, "high"), (0.3, "middle")], "low").alias("label"))
+
+
+def scores_by_label(spark, folder):
+    """Scored transactions and their mean score by chain and label, labels without any included."""
+    rows = scored_transactions(spark, folder)
+    counts = rows.groupBy("chain", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    labels = F.explode(F.array(*map(F.lit, ["high", "middle", "low"]))).alias("label")
+    every = table(spark, folder, "chain_tx").select(F.lower(F.trim("chain_name")).alias("chain")).distinct().select("chain", labels)
+    return every.join(counts, ["chain", "label"], "left").select("chain", "label", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 8).alias("mean"))
+
+
+def neighbour_labels(spark, folder):
+    """For each embedding whose number is divisible by 20, its own label and that of its nearest other one."""
+    rows = table(spark, folder, "embeddings")
+    found = learning.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding").select("query", "neighbour")
+    own = rows.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    other = rows.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("near"))
+    return found.join(own, "query").join(other, "neighbour").select("query", "own", "near")
+
+
+def unit_vectors(spark, folder):
+    """The five largest entries of each embedding made a unit vector."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.inline(top_by_size(unit(F.col("embedding")), 5)))
+    return rows.select("vec_id", F.col("index").cast("long").alias("index"), F.round("value", 6).alias("value"))
+
+
+def drawing_widths(spark, folder):
+    """Edge widths and node sizes for drawing the graph of matched links."""
+    rows = table(spark, folder, "wallet_links").where(F.col("score").isNotNull())
+    return rows.select("link_id", F.round(bounded_width(F.col("score"), 4.0), 6).alias("width"), (15 + F.floor(25 * F.col("score"))).alias("size"))
+
+
 def stream_velocity(spark, folder):
     """``velocity_on_arrival`` as a stream."""
     rows = transactions.normalise(pipelines.stream_of(spark, folder, "chain_tx"))
@@ -193,7 +248,7 @@ def stream_latest(spark, folder):
     return pipelines.run_to_end(pipelines.latest_state(pairs, "pair", "link_id", "verdict"), "complete").select("pair", "verdict.is_match", "updates")
 
 
-_NAMES = [feature_vectors, feature_moments, class_separation, standardised, min_max_scores, class_weights, isolation_scores, reconstruction_errors, call_model, call_model_reasons, nearest_vectors, source_findings, source_risk, findings_by_severity, bytecode_risk, payload_hash, topic_counts, last_links, latest_links, combined_scores, decayed_links, kept_links, stream_velocity, stream_distinct, stream_rates, stream_latest]
+_NAMES = [feature_vectors, feature_moments, class_separation, standardised, min_max_scores, class_weights, isolation_scores, reconstruction_errors, call_model, call_model_reasons, nearest_vectors, source_findings, source_risk, findings_by_severity, bytecode_risk, payload_hash, topic_counts, last_links, latest_links, combined_scores, decayed_links, kept_links, wallet_report, scored_transactions, scores_by_label, neighbour_labels, unit_vectors, drawing_widths, stream_velocity, stream_distinct, stream_rates, stream_latest]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _X = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
@@ -215,7 +270,19 @@ found AS (""" + " UNION ALL ".join(
 ) + ")"
 _SCORE = "CASE severity WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.75 WHEN 'MEDIUM' THEN 0.5 WHEN 'LOW' THEN 0.25 ELSE 0.1 END"
 
+_FEATURES = f"""{EDGE}, d AS (SELECT address, sum(o) AS o, sum(i) AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1),
+v AS (SELECT *, count(*) {_WIN.format(3600)} AS c FROM tx WHERE sender IS NOT NULL),
+s AS (SELECT v.seq, v.sender, v.chain, w.risk_score AS r, least(1.0, (coalesce(i, 0) + coalesce(o, 0)) / 100.0::DOUBLE) AS cen, least(1.0, c / 20.0::DOUBLE) AS vel FROM v LEFT JOIN d ON d.address = v.sender LEFT JOIN wallets w ON lower(w.address) = v.sender),
+scored AS (SELECT seq, sender, chain, round((coalesce(r * 0.5, 0) + cen * 0.3 + vel * 0.2) / (CASE WHEN r >= 0 THEN 0.5 ELSE 0 END + 0.3::DOUBLE + 0.2::DOUBLE), 10) AS score FROM s),
+labelled AS (SELECT *, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'middle' ELSE 'low' END AS label FROM scored)"""
+
 ORACLES = {
+    "wallet_report": f"WITH {EDGE}, side AS (SELECT chain, sender AS address FROM tx UNION ALL SELECT chain, recipient FROM tx), ch AS (SELECT address, count(DISTINCT chain) AS n_chains FROM side WHERE address IS NOT NULL GROUP BY 1), d AS (SELECT address, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1), st AS (SELECT sender AS address, count(*) AS n, sum(value_wei)::DECIMAL(38,0)::DOUBLE / 1e18 AS v FROM tx WHERE recipient IS NOT NULL GROUP BY 1), rt AS (SELECT o.src AS address, count(*) AS k FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400 GROUP BY 1) SELECT lower(w.address) AS address, round(risk_score, 6) AS risk, coalesce(is_flagged, false) AS is_flagged, coalesce(st.n, 0) AS tx_count, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(k, 0) AS round_trips, coalesce(n_chains, 0) AS n_chains, round(coalesce(st.v, 0.0), 6)::DOUBLE AS total_value_eth, round(CASE WHEN o IS NULL THEN 0.0 ELSE least(1.0, (o + i) / 100.0::DOUBLE) END, 6)::DOUBLE AS centrality FROM wallets w LEFT JOIN st ON st.address = lower(w.address) LEFT JOIN d ON d.address = lower(w.address) LEFT JOIN rt ON rt.address = lower(w.address) LEFT JOIN ch ON ch.address = lower(w.address)",
+    "scored_transactions": f"WITH {_FEATURES} SELECT * FROM labelled",
+    "scores_by_label": f"WITH {_FEATURES} SELECT c.chain, l.label, count(x.seq) AS n, round(coalesce(avg(x.score), 0), 8) AS mean FROM (SELECT DISTINCT lower(trim(chain_name)) AS chain FROM chain_tx) c CROSS JOIN (VALUES ('high'), ('middle'), ('low')) l(label) LEFT JOIN labelled x ON x.chain = c.chain AND x.label = l.label GROUP BY 1, 2",
+    "neighbour_labels": "WITH n AS (SELECT q.vec_id AS query, q.label AS own, arg_min(r.label, (-round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 12), r.vec_id)) AS near FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id GROUP BY 1, 2) SELECT * FROM n",
+    "unit_vectors": "WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x::DOUBLE * x)) + 1e-8 AS len FROM e GROUP BY 1) SELECT vec_id, i::BIGINT AS index, round(x / len, 6) AS value FROM e JOIN n USING (vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, i) <= 5",
+    "drawing_widths": "SELECT link_id, round(least(5.0, greatest(1.0, score * 4)), 6)::DOUBLE AS width, (15 + floor(25 * score))::BIGINT AS size FROM wallet_links WHERE score IS NOT NULL",
     "feature_vectors": f"""WITH {EDGE}, d AS (SELECT address, sum(o) AS o, sum(i) AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1),
 v AS (SELECT *, count(*) {_WIN.format(3600)} AS c, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL)
 SELECT seq, tx_hash, sender, chain, round(value_eth, 6) AS value_eth, round(log_value_eth, 6) AS log_value_eth, round(gas_price_gwei, 6) AS gas_price_gwei, is_high_value, gas::DOUBLE AS gas, input_length::DOUBLE AS input_length,

@@ -37,6 +37,16 @@ def test_logistic_model_on_held_out_rows(rows):
     assert r.probability == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
 
 
+def test_saved_model_gives_the_same(rows, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    model = learning.logistic_model(rows, COLUMNS, "y")
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    one, two = (learning.predicted(m, rows, COLUMNS).select("id", F.round("probability", 12)) for m in (model, again))
+    assert one.exceptAll(two).count() == 0
+
+
 def test_reconstruction_error(rows):
     assert auc(learning.reconstruction_error(rows.where("y = 0"), rows, COLUMNS, 2), "error") > 0.9
 

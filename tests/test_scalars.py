@@ -30,3 +30,9 @@ def test_identity(spark):
 def test_canonical_json(spark):
     df = spark.createDataFrame([(2, "x", None)], "b int, a string, c string")
     assert df.select(F.sha2(scalars.canonical_json(["b", "a", "c"]), 256)).first()[0] == hashlib.sha256(b'{"a":"x","b":2}').hexdigest()
+
+
+def test_rules_by_prefix(spark):
+    df = spark.createDataFrame([("/scan/x",), ("/scanner",), ("/graph/1",), (None,)], "p string")
+    assert [r[0] for r in df.select(scalars.first_prefix(F.col("p"), [("/scan/", 1), ("/scan", 2)], 9)).collect()] == [1, 2, 9, 9]
+    assert spark.range(1).select(scalars.bounded_width(F.lit(0.1)), scalars.bounded_width(F.lit(9.0))).first() == (1.0, 5.0)
