@@ -52,8 +52,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     wallets = table(spark, folder, "wallets").where(F.col("tx_count").isNotNull()).select(address(F.col("address")).alias("address"), summary.alias("s"), F.lit(None).cast("string").alias("selector"))
     methods = table(spark, folder, "wallet_methods").select(address(F.col("address")).alias("address"), summary.alias("s"), F.lower("selector").alias("selector"))
     stored = wallets.unionByName(methods).groupBy("address").agg(
-        F.collect_list(F.when(F.col("selector").isNull(), F.col("s"))).alias("whole"),
-        F.collect_list(F.when(F.col("selector").isNotNull(), F.struct("selector", "s"))).alias("parts"),
+        F.collect_set(F.when(F.col("selector").isNull(), F.col("s"))).alias("whole"),
+        F.collect_set(F.when(F.col("selector").isNotNull(), F.struct("selector", "s"))).alias("parts"),
     )
     wide = entity_features(distinct_events(spark, folder)).withColumnRenamed("entity", "address")
     both = stored.join(wide, "address", "left")
