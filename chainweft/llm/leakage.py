@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chainweft.llm.wording import tokens, weighted_tokens
+from chainweft.operators.spread import spread
 
 LEAST_WORDS = 15
 LEAST_SIMILARITY = 0.75
@@ -241,7 +242,7 @@ def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     spark = docs.sparkSession
     names = (doc_id, item_id) if doc_id != item_id else (doc_id, f"item_{item_id}")
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id), F.col(doc_text))
+    texts = spread(docs.select(F.col(doc_id), F.col(doc_text)))
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text)
     marks = items.select(item_text).mapInArrow(_item_statistics, "word string, mark long, text long").distinct().groupBy("word", "mark").count()
     counted = marks.cache()
