@@ -24,7 +24,7 @@ def _features(spark: SparkSession, folder: str) -> DataFrame:
 def feature_vectors(spark, folder):
     """The feature vector of every distinct transaction, its velocity and degrees computed from all of them."""
     columns = ["seq", "tx_hash", "sender", "recipient", "block_timestamp", "value_wei", "value_eth", "log_value_eth", "is_high_value", "gas", "gas_price_gwei", "input_length", "is_creation", "is_call", "chain"]
-    tx = transactions.distinct_transactions(table(spark, folder, "chain_tx"), columns)
+    tx, _ = WrittenTables(spark, "features").write(transactions.distinct_transactions(table(spark, folder, "chain_tx"), columns))
     recent = velocity.recent_activity(tx, "sender", "block_timestamp", "seq", "value_wei")
     degree = graph.degrees(graph.edges(tx)).select(F.col("address").alias("sender"), "in_degree", "out_degree")
     return recent.join(degree, "sender", "left").select(
