@@ -36,7 +36,7 @@ def p1_features(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.map_entries("types")),
         lambda e: F.concat_ws(":", e["key"], e["value"]["n"].cast("string"), e["value"]["total"].cast("string"), e["value"]["first"].cast("string"), e["value"]["last"].cast("string")),
     )
-    return wide.select(F.col("entity").alias("address"), F.col("n").alias("tx_count"), F.round(ether(F.col("total")), 6).alias("total_value_eth"), F.col("first").alias("first_seen"), F.col("last").alias("last_seen"), F.size("types").cast("long").alias("n_types"), F.concat_ws(",", per_type).alias("by_type"))
+    return wide.select(F.col("entity").alias("address"), F.col("n").alias("tx_count"), F.round(ether(F.col("total")), 9).alias("total_value_eth"), F.col("first").alias("first_seen"), F.col("last").alias("last_seen"), F.size("types").cast("long").alias("n_types"), F.concat_ws(",", per_type).alias("by_type"))
 
 
 def _differs(stored: Column, n: Column, total: Column, first: Column, last: Column) -> Column:
@@ -102,7 +102,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Deliveries, value and gas of each sender and each recipient."""
     rows = per_key(table(spark, folder, "chain_tx"), _sides(), {"value_wei": F.col("value_wei"), "gas": F.col("gas")})
-    return rows.where(F.length("key") > 0).select("side", F.col("key").alias("address"), F.col("rows").alias("n"), F.round(ether(F.col("value_wei")), 6).alias("value_eth"), F.col("gas").alias("gas"))
+    return rows.where(F.length("key") > 0).select("side", F.col("key").alias("address"), F.col("rows").alias("n"), F.round(ether(F.col("value_wei")), 9).alias("value_eth"), F.col("gas").alias("gas"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_features": p1_features, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_totals": p5_totals}
@@ -129,7 +129,7 @@ FROM (SELECT * FROM part WHERE address IN (SELECT lower(address) FROM wallet_met
 FULL JOIN wallet_methods s ON a.address = lower(s.address) AND a.selector = s.selector
 WHERE a.address IS NULL OR s.address IS NULL OR {_APART.format(n='a.n', total='a.total')}""",
     "p1_features": f"""WITH {_TX}, part AS (SELECT address, selector, count(*) AS n, sum(v)::DECIMAL(38,0) AS total, min(t) AS a, max(t) AS z FROM tx WHERE address IS NOT NULL GROUP BY 1, 2)
-SELECT address, sum(n)::BIGINT AS tx_count, round(sum(total)::DECIMAL(38,0)::DOUBLE / 1e18, 6) AS total_value_eth, min(a) AS first_seen, max(z) AS last_seen,
+SELECT address, sum(n)::BIGINT AS tx_count, round(sum(total)::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS total_value_eth, min(a) AS first_seen, max(z) AS last_seen,
 count(*) AS n_types, string_agg(concat_ws(':', selector, n, total, a, z), ',' ORDER BY selector) AS by_type FROM part GROUP BY 1""",
     "p2_found": f"""WITH {_TX}, wanted AS (SELECT DISTINCT lower(address) AS address FROM daily_totals),
 sent AS (SELECT address, t, v, t // 86400 AS d FROM tx WHERE address IN (SELECT address FROM wanted)),
@@ -147,5 +147,5 @@ OR s.value_wei_30d IS DISTINCT FROM v30 OR s.peak_tx_count_1h IS DISTINCT FROM a
     "p5_found": f"""WITH k AS (SELECT 'from' AS side, {_ADDRESS.format('from_addr')} AS address FROM chain_tx UNION ALL SELECT 'to', {_ADDRESS.format('to_addr')} FROM chain_tx)
 SELECT side, address FROM k WHERE address IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 0.015 * (SELECT count(*) FROM chain_tx)""",
     "p5_totals": f"""WITH k AS (SELECT 'from' AS side, {_ADDRESS.format('from_addr')} AS address, value_wei, gas FROM chain_tx UNION ALL SELECT 'to', {_ADDRESS.format('to_addr')}, value_wei, gas FROM chain_tx)
-SELECT side, address, count(*) AS n, round(sum(value_wei)::DECIMAL(38,0)::DOUBLE / 1e18, 6) AS value_eth, sum(gas)::BIGINT AS gas FROM k WHERE address IS NOT NULL GROUP BY 1, 2""",
+SELECT side, address, count(*) AS n, round(sum(value_wei)::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS value_eth, sum(gas)::BIGINT AS gas FROM k WHERE address IS NOT NULL GROUP BY 1, 2""",
 }

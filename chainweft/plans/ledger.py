@@ -34,7 +34,7 @@ def _risk(spark: SparkSession, folder: str) -> DataFrame:
 def tx_normalized(spark, folder):
     """Every delivery with canonical spellings and derived fields."""
     rows = transactions.normalise(table(spark, folder, "chain_tx"))
-    return rows.withColumns({c: F.round(c, 6) for c in ("value_eth", "log_value_eth", "gas_price_gwei")}).drop("value_wei")
+    return rows.withColumns({c: F.round(c, 9) for c in ("value_eth", "log_value_eth", "gas_price_gwei")}).drop("value_wei")
 
 
 def tx_distinct(spark, folder):
@@ -45,13 +45,13 @@ def tx_distinct(spark, folder):
 def tx_log_summary(spark, folder):
     """A short form of each transaction for logs."""
     tx = _tx(spark, folder, "seq", "tx_hash", "sender", "recipient", "value_eth")
-    return tx.select("seq", F.concat(F.substring("tx_hash", 1, 12), F.lit("...")).alias("tx"), F.substring("sender", 1, 10).alias("sender"), F.coalesce(F.substring("recipient", 1, 10), F.lit("CONTRACT_CREATION")).alias("recipient"), F.round("value_eth", 6).alias("value_eth"))
+    return tx.select("seq", F.concat(F.substring("tx_hash", 1, 12), F.lit("...")).alias("tx"), F.substring("sender", 1, 10).alias("sender"), F.coalesce(F.substring("recipient", 1, 10), F.lit("CONTRACT_CREATION")).alias("recipient"), F.round("value_eth", 9).alias("value_eth"))
 
 
 def velocity_1h(spark, folder):
     """Count, sum and gap of each transaction's sender over the hour before it, and bursts."""
     rows = velocity.recent_activity(_tx(spark, folder, "seq", "sender", "block_timestamp", "value_wei"), "sender", "block_timestamp", "seq", "value_wei")
-    return rows.select("seq", "sender", "tx_count", F.round(ether(F.col("value_sum")), 6).alias("value_sum"), F.col("since_last").alias("since_last"), "is_burst")
+    return rows.select("seq", "sender", "tx_count", F.round(ether(F.col("value_sum")), 9).alias("value_sum"), F.col("since_last").alias("since_last"), "is_burst")
 
 
 def velocity_24h(spark, folder):
@@ -87,12 +87,12 @@ def value_stats_by_chain(spark, folder):
 
 def wallet_totals(spark, folder):
     rows = graph.wallet_totals(_tx(spark, folder, "sender", "recipient", "value_wei"))
-    return rows.withColumn("total_value_eth", F.round("total_value_eth", 6))
+    return rows.withColumn("total_value_eth", F.round("total_value_eth", 9))
 
 
 def edge_totals(spark, folder):
     """The collapsed edges of the wallet graph."""
-    return _edges(spark, folder).select("src", "dst", "first_seq", "n", F.round(ether(F.col("value_wei")), 6).alias("value_eth"), "last_time")
+    return _edges(spark, folder).select("src", "dst", "first_seq", "n", F.round(ether(F.col("value_wei")), 9).alias("value_eth"), "last_time")
 
 
 def wallet_degrees(spark, folder):
@@ -107,7 +107,7 @@ def graph_size(spark, folder):
 
 
 def round_trips_day(spark, folder):
-    return graph.round_trips(_edges(spark, folder)).select("address", "intermediate", "time_out", "time_in", "round_trip_s", F.round(ether(F.col("value_wei")), 6).alias("value_eth"))
+    return graph.round_trips(_edges(spark, folder)).select("address", "intermediate", "time_out", "time_in", "round_trip_s", F.round(ether(F.col("value_wei")), 9).alias("value_eth"))
 
 
 def round_trips_week(spark, folder):
@@ -331,19 +331,19 @@ _PATHS = f"""WITH RECURSIVE {LINK}, {RISK}, walk(start, path, node, hops) AS (SE
  UNION ALL SELECT w.start, list_append(w.path, l.dst), l.dst, w.hops + 1 FROM walk w JOIN link l ON l.src = w.node WHERE w.hops < {{0}} AND NOT list_contains(w.path, l.dst))"""
 
 ORACLES = {
-    "tx_normalized": f"WITH {NORM} SELECT seq, tx_hash, block_number, block_timestamp, sender, recipient, round(value_eth, 6) AS value_eth, round(log_value_eth, 6) AS log_value_eth, is_high_value, gas, round(gas_price_gwei, 6) AS gas_price_gwei, selector, input_length, is_creation, is_call, chain FROM norm",
+    "tx_normalized": f"WITH {NORM} SELECT seq, tx_hash, block_number, block_timestamp, sender, recipient, round(value_eth, 9) AS value_eth, round(log_value_eth, 9) AS log_value_eth, is_high_value, gas, round(gas_price_gwei, 9) AS gas_price_gwei, selector, input_length, is_creation, is_call, chain FROM norm",
     "tx_distinct": f"WITH {TX} SELECT seq, tx_hash, sender, recipient, selector, chain FROM tx",
-    "tx_log_summary": f"WITH {TX} SELECT seq, left(tx_hash, 12) || '...' AS tx, left(sender, 10) AS sender, coalesce(left(recipient, 10), 'CONTRACT_CREATION') AS recipient, round(value_eth, 6) AS value_eth FROM tx",
-    "velocity_1h": f"WITH {TX}, v AS (SELECT seq, sender, count(*) {_WIN.format(3600)} AS tx_count, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, sender, tx_count, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 6) AS value_sum, CASE WHEN gap <= 3600 THEN gap ELSE -1 END AS since_last, tx_count > 20 AS is_burst FROM v",
+    "tx_log_summary": f"WITH {TX} SELECT seq, left(tx_hash, 12) || '...' AS tx, left(sender, 10) AS sender, coalesce(left(recipient, 10), 'CONTRACT_CREATION') AS recipient, round(value_eth, 9) AS value_eth FROM tx",
+    "velocity_1h": f"WITH {TX}, v AS (SELECT seq, sender, count(*) {_WIN.format(3600)} AS tx_count, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, sender, tx_count, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS value_sum, CASE WHEN gap <= 3600 THEN gap ELSE -1 END AS since_last, tx_count > 20 AS is_burst FROM v",
     "velocity_24h": f"WITH {TX}, v AS (SELECT seq, count(*) {_WIN.format(86400)} AS tx_count, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, tx_count, CASE WHEN gap <= 86400 THEN gap ELSE -1 END AS since_last, tx_count > 5 AS is_burst FROM v",
     "last_row_per_sender": f"WITH {TX} SELECT sender, block_timestamp, seq, gas, input_length FROM tx WHERE sender IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sender ORDER BY block_timestamp DESC, seq DESC) = 1",
     "gas_percentile": f"WITH {TX} SELECT DISTINCT chain, gas, round(cume_dist() OVER (PARTITION BY chain ORDER BY gas), 9) AS share FROM tx WHERE gas IS NOT NULL",
     "value_stats_by_chain": f"WITH {TX} SELECT chain, count(gas) AS n, round(avg(gas), 3) AS mean, round(stddev_pop(gas), 3) AS std, round(quantile_cont(gas, 0.5), 3) AS median, round(quantile_cont(gas, 0.95), 3) AS p95, sum(gas)::DOUBLE AS total, max(gas)::DOUBLE AS most FROM tx GROUP BY 1",
-    "wallet_totals": f"WITH {TX}, flat AS (SELECT sender AS address, CASE WHEN recipient IS NOT NULL AND sender IS NOT NULL THEN 1 ELSE 0 END AS n, CASE WHEN recipient IS NOT NULL THEN value_wei END AS v FROM tx UNION ALL SELECT recipient, 0, NULL FROM tx) SELECT address, sum(n)::BIGINT AS tx_count, round(coalesce(sum(v), 0)::DECIMAL(38,0)::DOUBLE / 1e18, 6) AS total_value_eth FROM flat WHERE address IS NOT NULL GROUP BY 1",
-    "edge_totals": f"WITH {EDGE} SELECT src, dst, first_seq, n, round(value_wei::DOUBLE / 1e18, 6) AS value_eth, last_time FROM edge",
+    "wallet_totals": f"WITH {TX}, flat AS (SELECT sender AS address, CASE WHEN recipient IS NOT NULL AND sender IS NOT NULL THEN 1 ELSE 0 END AS n, CASE WHEN recipient IS NOT NULL THEN value_wei END AS v FROM tx UNION ALL SELECT recipient, 0, NULL FROM tx) SELECT address, sum(n)::BIGINT AS tx_count, round(coalesce(sum(v), 0)::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS total_value_eth FROM flat WHERE address IS NOT NULL GROUP BY 1",
+    "edge_totals": f"WITH {EDGE} SELECT src, dst, first_seq, n, round(value_wei::DOUBLE / 1e18, 9) AS value_eth, last_time FROM edge",
     "wallet_degrees": f"WITH {EDGE}, e AS (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) SELECT address, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, round(least(1.0, (sum(o) + sum(i)) / 100.0)::DOUBLE, 6) AS centrality FROM e GROUP BY 1",
     "graph_size": f"WITH {EDGE} SELECT (SELECT count(*) FROM (SELECT src FROM edge UNION SELECT dst FROM edge)) AS nodes, count(*) AS edges, count(*) FILTER (src = dst) AS loops FROM edge",
-    "round_trips_day": f"WITH {EDGE} SELECT o.src AS address, o.dst AS intermediate, o.last_time AS time_out, b.last_time AS time_in, b.last_time - o.last_time AS round_trip_s, round(b.value_wei::DOUBLE / 1e18, 6) AS value_eth FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400",
+    "round_trips_day": f"WITH {EDGE} SELECT o.src AS address, o.dst AS intermediate, o.last_time AS time_out, b.last_time AS time_in, b.last_time - o.last_time AS round_trip_s, round(b.value_wei::DOUBLE / 1e18, 9) AS value_eth FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400",
     "round_trips_week": f"WITH {EDGE} SELECT o.src AS address, o.dst AS intermediate, b.last_time - o.last_time AS round_trip_s FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 604800",
     "first_counterparties": f"WITH {EDGE} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY first_seq, dst)::INT AS place FROM edge QUALIFY place <= 10",
     "ancestors_of_flagged": f"WITH RECURSIVE {LINK}, {RISK}, up(address, hops) AS (SELECT address, 0 FROM risk WHERE is_flagged UNION SELECT l.src, u.hops + 1 FROM up u JOIN link l ON l.dst = u.address WHERE u.hops < 4) SELECT address, min(hops)::INT AS hops FROM up GROUP BY 1 HAVING min(hops) > 0",

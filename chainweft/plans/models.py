@@ -28,8 +28,8 @@ def feature_vectors(spark, folder):
     recent = velocity.recent_activity(tx, "sender", "block_timestamp", "seq", "value_wei")
     degree = graph.degrees(graph.edges(tx)).select(F.col("address").alias("sender"), "in_degree", "out_degree")
     return recent.join(degree, "sender", "left").select(
-        "seq", "tx_hash", "sender", "chain", *(F.round(c, 6).alias(c) for c in ("value_eth", "log_value_eth", "gas_price_gwei")), "is_high_value", F.col("gas").cast("double").alias("gas"), F.col("input_length").cast("double").alias("input_length"),
-        flag(F.col("is_call")).alias("is_call"), flag(F.col("is_creation")).alias("is_creation"), F.col("tx_count").cast("double").alias("tx_count_1h"), F.round(ether(F.col("value_sum")), 6).alias("value_sum_1h"),
+        "seq", "tx_hash", "sender", "chain", *(F.round(c, 9).alias(c) for c in ("value_eth", "log_value_eth", "gas_price_gwei")), "is_high_value", F.col("gas").cast("double").alias("gas"), F.col("input_length").cast("double").alias("input_length"),
+        flag(F.col("is_call")).alias("is_call"), flag(F.col("is_creation")).alias("is_creation"), F.col("tx_count").cast("double").alias("tx_count_1h"), F.round(ether(F.col("value_sum")), 9).alias("value_sum_1h"),
         F.col("since_last").cast("double").alias("since_last"), F.coalesce("in_degree", F.lit(0)).cast("double").alias("in_degree"), F.coalesce("out_degree", F.lit(0)).cast("double").alias("out_degree"),
     )
 
@@ -179,7 +179,7 @@ def wallet_report(spark, folder):
     trips = graph.round_trips(edge).groupBy("address").agg(F.count(F.lit(1)).alias("round_trips"))
     rows = _wallets(spark, folder).join(graph.wallet_totals(tx), "address", "left").join(graph.degrees(edge), "address", "left").join(trips, "address", "left").join(crosschain.chains_by_address(tx), "address", "left")
     zero = F.lit(0).cast("long")
-    return rows.select("address", F.round("risk", 6).alias("risk"), "is_flagged", *(F.coalesce(c, zero).alias(c) for c in ("tx_count", "out_degree", "in_degree", "round_trips", "n_chains")), F.round(F.coalesce("total_value_eth", F.lit(0.0)), 6).alias("total_value_eth"), F.round(F.coalesce("centrality", F.lit(0.0)), 6).alias("centrality"))
+    return rows.select("address", F.round("risk", 6).alias("risk"), "is_flagged", *(F.coalesce(c, zero).alias(c) for c in ("tx_count", "out_degree", "in_degree", "round_trips", "n_chains")), F.round(F.coalesce("total_value_eth", F.lit(0.0)), 9).alias("total_value_eth"), F.round(F.coalesce("centrality", F.lit(0.0)), 6).alias("centrality"))
 
 
 def scored_transactions(spark, folder):
@@ -277,7 +277,7 @@ scored AS (SELECT seq, sender, chain, round((coalesce(r * 0.5, 0) + cen * 0.3 +
 labelled AS (SELECT *, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'middle' ELSE 'low' END AS label FROM scored)"""
 
 ORACLES = {
-    "wallet_report": f"WITH {EDGE}, side AS (SELECT chain, sender AS address FROM tx UNION ALL SELECT chain, recipient FROM tx), ch AS (SELECT address, count(DISTINCT chain) AS n_chains FROM side WHERE address IS NOT NULL GROUP BY 1), d AS (SELECT address, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1), st AS (SELECT sender AS address, count(*) AS n, sum(value_wei)::DECIMAL(38,0)::DOUBLE / 1e18 AS v FROM tx WHERE recipient IS NOT NULL GROUP BY 1), rt AS (SELECT o.src AS address, count(*) AS k FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400 GROUP BY 1) SELECT lower(w.address) AS address, round(risk_score, 6) AS risk, coalesce(is_flagged, false) AS is_flagged, coalesce(st.n, 0) AS tx_count, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(k, 0) AS round_trips, coalesce(n_chains, 0) AS n_chains, round(coalesce(st.v, 0.0), 6)::DOUBLE AS total_value_eth, round(CASE WHEN o IS NULL THEN 0.0 ELSE least(1.0, (o + i) / 100.0::DOUBLE) END, 6)::DOUBLE AS centrality FROM wallets w LEFT JOIN st ON st.address = lower(w.address) LEFT JOIN d ON d.address = lower(w.address) LEFT JOIN rt ON rt.address = lower(w.address) LEFT JOIN ch ON ch.address = lower(w.address)",
+    "wallet_report": f"WITH {EDGE}, side AS (SELECT chain, sender AS address FROM tx UNION ALL SELECT chain, recipient FROM tx), ch AS (SELECT address, count(DISTINCT chain) AS n_chains FROM side WHERE address IS NOT NULL GROUP BY 1), d AS (SELECT address, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1), st AS (SELECT sender AS address, count(*) AS n, sum(value_wei)::DECIMAL(38,0)::DOUBLE / 1e18 AS v FROM tx WHERE recipient IS NOT NULL GROUP BY 1), rt AS (SELECT o.src AS address, count(*) AS k FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400 GROUP BY 1) SELECT lower(w.address) AS address, round(risk_score, 6) AS risk, coalesce(is_flagged, false) AS is_flagged, coalesce(st.n, 0) AS tx_count, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(k, 0) AS round_trips, coalesce(n_chains, 0) AS n_chains, round(coalesce(st.v, 0.0), 9)::DOUBLE AS total_value_eth, round(CASE WHEN o IS NULL THEN 0.0 ELSE least(1.0, (o + i) / 100.0::DOUBLE) END, 6)::DOUBLE AS centrality FROM wallets w LEFT JOIN st ON st.address = lower(w.address) LEFT JOIN d ON d.address = lower(w.address) LEFT JOIN rt ON rt.address = lower(w.address) LEFT JOIN ch ON ch.address = lower(w.address)",
     "scored_transactions": f"WITH {_FEATURES} SELECT * FROM labelled",
     "scores_by_label": f"WITH {_FEATURES} SELECT c.chain, l.label, count(x.seq) AS n, round(coalesce(avg(x.score), 0), 8) AS mean FROM (SELECT DISTINCT lower(trim(chain_name)) AS chain FROM chain_tx) c CROSS JOIN (VALUES ('high'), ('middle'), ('low')) l(label) LEFT JOIN labelled x ON x.chain = c.chain AND x.label = l.label GROUP BY 1, 2",
     "neighbour_labels": "WITH n AS (SELECT q.vec_id AS query, q.label AS own, arg_min(r.label, (-round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 12), r.vec_id)) AS near FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id GROUP BY 1, 2) SELECT * FROM n",
@@ -285,14 +285,14 @@ ORACLES = {
     "drawing_widths": "SELECT link_id, round(least(5.0, greatest(1.0, score * 4)), 6)::DOUBLE AS width, (15 + floor(25 * score))::BIGINT AS size FROM wallet_links WHERE score IS NOT NULL",
     "feature_vectors": f"""WITH {EDGE}, d AS (SELECT address, sum(o) AS o, sum(i) AS i FROM (SELECT src AS address, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1),
 v AS (SELECT *, count(*) {_WIN.format(3600)} AS c, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL)
-SELECT seq, tx_hash, sender, chain, round(value_eth, 6) AS value_eth, round(log_value_eth, 6) AS log_value_eth, round(gas_price_gwei, 6) AS gas_price_gwei, is_high_value, gas::DOUBLE AS gas, input_length::DOUBLE AS input_length,
- is_call::INT::DOUBLE AS is_call, is_creation::INT::DOUBLE AS is_creation, c::DOUBLE AS tx_count_1h, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 6) AS value_sum_1h, CASE WHEN gap <= 3600 THEN gap ELSE -1 END::DOUBLE AS since_last, coalesce(i, 0)::DOUBLE AS in_degree, coalesce(o, 0)::DOUBLE AS out_degree FROM v LEFT JOIN d ON d.address = v.sender""",
+SELECT seq, tx_hash, sender, chain, round(value_eth, 9) AS value_eth, round(log_value_eth, 9) AS log_value_eth, round(gas_price_gwei, 9) AS gas_price_gwei, is_high_value, gas::DOUBLE AS gas, input_length::DOUBLE AS input_length,
+ is_call::INT::DOUBLE AS is_call, is_creation::INT::DOUBLE AS is_creation, c::DOUBLE AS tx_count_1h, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS value_sum_1h, CASE WHEN gap <= 3600 THEN gap ELSE -1 END::DOUBLE AS since_last, coalesce(i, 0)::DOUBLE AS in_degree, coalesce(o, 0)::DOUBLE AS out_degree FROM v LEFT JOIN d ON d.address = v.sender""",
     "feature_moments": f"WITH x AS ({_MOMENTS}) SELECT feature, count(x) AS n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(min(x), 5) AS low, round(max(x), 5) AS high FROM x GROUP BY 1",
     "class_separation": f"WITH x AS ({_MOMENTS}), s AS (SELECT feature, avg(x) FILTER (y) AS t, avg(x) FILTER (NOT y) AS f, abs(avg(x) FILTER (y) - avg(x) FILTER (NOT y)) / (stddev_pop(x) + 1e-9) AS sep FROM x WHERE y IS NOT NULL GROUP BY 1) SELECT feature, round(t, 5) AS mean_true, round(f, 5) AS mean_false, round(sep, 5) AS separation, sep > 2.5 AS suspicious FROM s",
     "standardised": f"WITH x AS (SELECT tx_hash, {_X.format('gas')} AS g, {_X.format('input_data_length')} AS l FROM tx_features), m AS (SELECT avg(g) AS mg, stddev_pop(g) AS sg, avg(l) AS ml, stddev_pop(l) AS sl FROM x) SELECT tx_hash, round((coalesce(g, mg) - mg) / sg, 5) AS gas, round((coalesce(l, ml) - ml) / sl, 5) AS input_data_length FROM x, m",
     "min_max_scores": f"WITH x AS (SELECT tx_hash, {_X.format('cluster_risk_score')} AS c FROM tx_features), m AS (SELECT min(c) AS a, max(c) AS z FROM x) SELECT tx_hash, round((c - a) / (z - a), 6) AS scaled FROM x, m",
     "class_weights": "WITH c AS (SELECT is_contract_call, count(*) AS n FROM tx_features WHERE is_contract_call IS NOT NULL GROUP BY 1) SELECT is_contract_call, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c",
-    "nearest_vectors": "SELECT q.vec_id AS query, arg_min(r.vec_id, (-round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 12), r.vec_id)) AS neighbour, round(max(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id GROUP BY 1",
+    "nearest_vectors": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8 AS len FROM embeddings), s AS (SELECT q.vec_id AS query, r.vec_id AS other, round(list_inner_product(q.v, r.v) / q.len / r.len, 12) AS c FROM e q, e r WHERE q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id) SELECT query, arg_min(other, (-c, other)) AS neighbour, round(max(c), 6) AS similarity FROM s GROUP BY 1",
     "source_findings": f"WITH {_FINDINGS} SELECT doc_id, rule, severity, line, confidence FROM found",
     "source_risk": f"WITH {_FINDINGS} SELECT doc_id, count(*) AS findings, round(0.7 * max({_SCORE}) + 0.3 * avg({_SCORE}), 6)::DOUBLE AS risk FROM found GROUP BY 1",
     "findings_by_severity": f"WITH {_FINDINGS} SELECT s.severity, count(f.severity) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN found f USING (severity) GROUP BY 1",
