@@ -13,7 +13,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = rows.inputFiles()
+    files = rows._jdf.inputFiles()  # stays in the JVM, as there may be very many
     if not 0 < len(files) < cores / 2:
         return rows
     conf = spark._jsc.hadoopConfiguration()
