@@ -179,11 +179,12 @@ def isolation_scores(rows: DataFrame, ident: str, columns: list[str], trees: int
     drawn = filled.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(sample).select(*columns).toPandas().to_numpy(float)
     if not len(drawn):
         return rows.withColumn("score", F.lit(None).cast("double"))
-    forest = rows.sparkSession.sparkContext.broadcast(IsolationForest.fit(drawn, trees, seed))
+    # as plain arrays, so executors need not know the class to read it
+    forest = rows.sparkSession.sparkContext.broadcast(tuple(vars(IsolationForest.fit(drawn, trees, seed)).values()))
 
     @F.pandas_udf("double")
     def score(*features: pd.Series) -> pd.Series:
-        return pd.Series(forest.value.score(np.column_stack([f.to_numpy(float) for f in features])))
+        return pd.Series(IsolationForest(*forest.value).score(np.column_stack([f.to_numpy(float) for f in features])))
 
     return filled.withColumn("score", score(*(F.col(c) for c in columns)))
 
