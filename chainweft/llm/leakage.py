@@ -22,12 +22,14 @@ under each identifier; items shorter than ``LEAST_WORDS`` words can't be found.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -173,7 +175,7 @@ class ItemIndex:
 
 def _search(index, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
+        items: ItemIndex = pickle.loads(index.value)
 
         def found(held: list[tuple[object, list[str]]]) -> Iterator[tuple]:
             words = [w for _, own in held for w in own]
@@ -254,7 +256,8 @@ def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
         frequency = {r.word: r["count"] for r in counted.where(F.col("word").isNotNull()).join(known, "word", "left_semi").toLocalIterator()}
         common = spark.createDataFrame(pa.table({"mark": pa.array(list(hashes), pa.int64())}))
         shared = {int(np.int64(r.mark).view(np.uint64)) for r in counted.where((F.col("count") > 1) & F.col("mark").isNotNull()).join(common, "mark", "left_semi").toLocalIterator()}
-        index = spark.sparkContext.broadcast(ItemIndex(block, shared, frequency))
+        # pickled with its class, which broadcasts by themselves wouldn't carry to the executors
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(block, shared, frequency)))
         parts.append(texts.mapInArrow(_search(index, to_arrow_type(items.schema[item_id].dataType)), f"doc {kinds[0]}, item {kinds[1]}"))
     counted.unpersist()
     if not parts:
