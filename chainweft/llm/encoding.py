@@ -2,7 +2,9 @@
 
 1. Texts are cut into passages (sentences and lines). A passage with non-ASCII characters has a skeleton - the passage
    without them, with numbers and hexadecimal strings made alike - and its runs of non-ASCII characters. One pass over
-   all texts counts each (skeleton, runs) and the pairs of neighbouring characters with a non-ASCII one.
+   all texts counts the different texts that hold each (skeleton, runs), and the pairs of neighbouring characters with
+   a non-ASCII one, each different passage weighing as the bits of its number of different texts. So copies of a
+   garbled text, which may differ in layout and markup, neither make its characters usual nor itself the clean twin.
 2. The most frequent runs of a skeleton are its clean twin. Rare runs are joined with it on the skeleton and aligned
    run by run; a chain of encodings is learned if it turns the twin's characters into the rare ones for enough pairs.
 3. Every record is then read again with the learned chains. A passage is garbled if undoing a learned chain on runs
@@ -10,7 +12,7 @@
    inside words. Passages with odd runs only between words are compared with their clean twin by a join on the
    skeleton, so a sound text that quotes a garbled sequence is none.
 
-All counts cover all texts. A passage that very many texts share is a hot key of the joins, which treat it apart. What
+All counts cover all texts. Texts that differ in their letters or digits count as different ones. A passage that very many texts share is a hot key of the joins, which treat it apart. What
 goes to the driver is bounded by the number of encodings and of character pairs: characters from U+2600 on count by
 blocks of 256, and if there are still more than ``MAX_PAIRS`` pairs, characters from U+0180 on count by blocks of 64.
 
@@ -26,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,8 @@ PASSAGE = re.compile(r"(?<=[.!?;])\s+|[\r\n]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: A word with what stands in it for letters, without surrounding quotation marks and punctuation.
 WORD = re.compile(r"[^\s\"'“”‘«»(){}\[\],.;:!?]+")
+#: What may differ between copies of a text: markup, blanks and ASCII punctuation.
+LAYOUT = re.compile(r"<[^<>]*>|[\x00-/:-@\[-`{-\x7f]+")
 HEX, NUMBER, BLANKS = re.compile(r"0[xX][0-9a-fA-F]+"), re.compile(r"\d+"), re.compile(r"\s+")
 SEPARATOR = "\x1f"
 
@@ -76,30 +81,49 @@ def _sign(c: str, coarse: bool = False) -> str:
     return chr(ord(c) & ~0x3F) if coarse and ord(c) >= 0x180 else c
 
 
-def _pairs(passage: str) -> Iterator[tuple[str, str]]:
+def _ends(passage: str) -> str:
+    """The signs before and after each run, a blank for none."""
+    beside = lambda at: _sign(passage[at]) if 0 <= at < len(passage) else " "
+    return "".join(beside(m.start() - 1) + beside(m.end()) for m in RUN.finditer(passage))
+
+
+def _pairs(runs: str, ends: str) -> Iterator[tuple[str, str]]:
     """Neighbouring characters of which at least one isn't ASCII."""
-    for m in RUN.finditer(passage):
-        signs = [_sign(c) for c in passage[max(0, m.start() - 1) : m.end() + 1]]
-        if m.start() == 0:
-            signs.insert(0, " ")
-        if m.end() == len(passage):
-            signs.append(" ")
+    for k, run in enumerate(runs.split(SEPARATOR)):
+        signs = [ends[2 * k], *map(_sign, run), ends[2 * k + 1]]
         yield from zip(signs, signs[1:])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (skeleton, runs) as kind v and of character pairs as kind b, folded over each batch."""
+def _mark(text: str) -> int:
+    """A hash of the text without regard to layout, markup and letter case."""
+    return xxhash.xxh64_intdigest(LAYOUT.sub("", text).lower()) - (1 << 63)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(skeleton, runs, ends, mark of the passage, mark of the text), each once in a batch."""
     for batch in batches:
-        seen: Counter = Counter()
+        seen: dict[tuple, None] = {}
         for text in batch.column(0).to_pylist():
             if text and not text.isascii():
+                whole = _mark(text)
                 for passage in PASSAGE.split(text):
                     if passage and not passage.isascii():
-                        seen["v", skeleton(passage), runs_of(passage)] += 1
-                        seen.update(("b", a, b) for a, b in _pairs(passage))
+                        seen[skeleton(passage), runs_of(passage), _ends(passage), _mark(passage), whole] = None
+        if seen:
+            columns = zip(("one", "two", "ends", "passage", "text"), zip(*seen))
+            yield pa.record_batch({c: pa.array(v, pa.string() if c in ("one", "two", "ends") else pa.int64()) for c, v in columns})
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of character pairs, folded over each batch."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for runs, ends, weight in zip(*(batch[c].to_pylist() for c in ("two", "ends", "weight"))):
+            for pair in _pairs(runs, ends):
+                seen[pair] += weight
         if seen:
-            kind, one, two = zip(*seen)
-            yield pa.record_batch({"kind": pa.array(kind), "one": pa.array(one), "two": pa.array(two), "n": pa.array(list(seen.values()), pa.int64())})
+            one, two = zip(*seen)
+            yield pa.record_batch({"one": pa.array(one), "two": pa.array(two), "n": pa.array(list(seen.values()), pa.int64())})
 
 
 def _coarsen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,15 +313,17 @@ def garbled_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     tables = WrittenTables(spark, "encoding")
     texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    counts = texts.select("text").mapInArrow(_count, "kind string, one string, two string, n long").groupBy("kind", "one", "two").agg(F.sum("n").alias("n"))
-    counts, _ = tables.write(counts)
-    variants = counts.where(F.col("kind") == "v")
+    seen = texts.select("text").mapInArrow(_passages, "one string, two string, ends string, passage long, text long").distinct()
+    held = seen.groupBy("one", "two", "ends", "passage").agg(F.count(F.lit(1)).alias("n"))
+    counts, _ = tables.write(held.groupBy("one", "two", "ends").agg(F.sum("n").alias("n"), F.sum(F.length(F.bin("n"))).alias("weight")))
+    variants, _ = tables.write(counts.groupBy("one", "two").agg(F.sum("n").alias("n")))
     refs, _ = tables.write(variants.groupBy("one").agg(F.max_by("two", F.struct("n", "two")).alias("ref"), F.max("n").alias("ref_n")))
-    pairs = lookup(variants, refs, "one", counts.count()).where((F.col("two") != F.col("ref")) & (F.col("ref_n") >= TWIN_LEAST) & (F.col("ref_n") >= TWIN_RATIO * F.col("n")))
+    pairs = lookup(variants, refs, "one", variants.count()).where((F.col("two") != F.col("ref")) & (F.col("ref_n") >= TWIN_LEAST) & (F.col("ref_n") >= TWIN_RATIO * F.col("n")))
     votes = pairs.select("ref", "two").mapInArrow(_learn, "chain int, n long").groupBy("chain").agg(F.sum("n").alias("n"))
     every = codings.chains()
     learned = [every[r.chain] for r in votes.where(F.col("n") >= CHAIN_SUPPORT).orderBy(F.desc("n"), "chain").collect()]
-    model = counts.where(F.col("kind") == "b").select("one", "two", "n")
+    model = counts.select("two", "ends", "weight").mapInArrow(_weigh, "one string, two string, n long").groupBy("one", "two").agg(F.sum("n").alias("n"))
+    model, _ = tables.write(model)
     coarse = model.count() > MAX_PAIRS
     if coarse:
         model = model.mapInArrow(_coarsen, "one string, two string, n long").groupBy("one", "two").agg(F.sum("n").alias("n"))

@@ -67,6 +67,24 @@ def test_lost_characters(spark):
     assert not out[9002].complete
 
 
+def test_copies_of_a_garbled_text_on_a_third_of_the_rows(spark, result):
+    rows = corpus()
+    odd = {chain: " ".join("".join(codings.garble(x, chain) or x if not x.isascii() else x for x in t.format(7)) for t in CLEAN[:2]) for chain in CHAINS[:2]}
+    for chain, text in odd.items():
+        copies = [(20_000 + k, text if k % 2 else f"<p>{text.replace(' ', '  ')}</p>", 0, "x") for k in range(len(rows) // 2)]
+        df = spark.createDataFrame(rows + garbled(CHAINS)[0] + copies, "doc_id long, text string, place int, state string").repartition(4)
+        assert {r[0] for r in garbled_documents(df, "doc_id", "text").collect()} == result[0] | {r[0] for r in copies}, chain
+
+
+def test_a_clean_twin_is_preferred_to_copies_of_its_garbled_form(spark):
+    odd = "".join(codings.garble(x, CHAINS[0]) if not x.isascii() else x for x in "Limits: 9 × 3 calls — enough.")
+    rows = corpus(20) + garbled(CHAINS[:1], 1)[0] + [(8000 + k, odd, 0, "") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int, state string")
+    out = {r.doc_id: r for r in restored_documents(df, "doc_id", "text").collect()}
+    assert {8000 + k for k in range(60)} <= set(out)
+    assert all(out[8000 + k].complete and out[8000 + k].text == "Limits: 9 × 3 calls — enough." for k in range(60))
+
+
 def test_coarse_model_and_hot_passages_find_the_same(spark, result, monkeypatch):
     from chainweft.llm import encoding
     from chainweft.operators import skew
