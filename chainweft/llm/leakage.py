@@ -10,7 +10,10 @@ up each block by itself finds all pairs within the radius, and those whose windo
 For each document and item that meet, the document is then compared exactly, over a window as long as the item around
 the places found: shingles of ``SHINGLE`` tokens are chained in the order of both texts, and the words they cover are
 weighed. Words count as they are part of one (a number is one word); wording that several items share counts nothing.
-A case needs ``LEAST_WORDS`` words from the chain's first to its last and ``LEAST_SIMILARITY`` of them covered.
+A case needs ``LEAST_WORDS`` words from the chain's first to its last and ``LEAST_SIMILARITY`` of them covered. Where no
+chain has, single words around the places are aligned, so that words beside an altered one count as well: a case needs
+``LEAST_WORDS`` words from the first to the last aligned one, altered ones included, and ``LEAST_INTACT`` of them aligned.
+An altered word at the very end of a passage can't be told from a shorter passage and doesn't count.
 
 Items are a stated query set: their index is built block by block, each of at most ``BLOCK_TOKENS`` tokens, and each
 block is broadcast and compared with all documents, so what is broadcast has that bound however many items there are.
@@ -39,11 +42,15 @@ from chainweft.operators.spread import spread
 
 LEAST_WORDS = 15
 LEAST_SIMILARITY = 0.75
+#: Two words in fifteen may be altered.
+LEAST_INTACT = 13 / 15
 WINDOW = 5
 BITS, BLOCKS = 64, 4
 RADIUS = BLOCKS - 1
 #: Tokens of a shingle in the exact comparison, and the most tokens between chained ones.
 SHINGLE, GAP = 3, 8
+#: Most tokens from an aligned word to the next: two altered numbers of several parts between them.
+STEP = 8
 #: Wording is shared if so many tokens in a row occur in several items.
 SHARED = 6
 #: Tokens of items in one broadcast index, about 200 bytes each.
@@ -148,6 +155,47 @@ class ItemIndex:
             low, high = max(0, place - reach), min(len(words), place + 2 * reach)
             if self._chained(words[low:high], item, weights, shingles):
                 return True
+        low, high = 0, 0
+        around = WINDOW + LEAST_WORDS + 2 * STEP
+        for place in sorted(places):
+            if low < high and place - around <= high:
+                high = place + around
+                continue
+            if low < high and self._aligned(words[low:high], item, weights):
+                return True
+            low, high = max(0, place - around), place + around
+        return low < high and self._aligned(words[low:high], item, weights)
+
+    @staticmethod
+    def _aligned(words: list[str], item: list[str], weights: np.ndarray) -> bool:
+        """Whether single words, aligned in the order of both texts, make a long enough run with few words altered."""
+        total = np.concatenate([[0.0], np.cumsum(weights)]).tolist()
+        spots: dict[str, list[int]] = defaultdict(list)
+        for i, word in enumerate(item):
+            spots[word].append(i)
+        recent: list[tuple[int, int, dict[int, tuple[float, float]]]] = []  # place in the text, in the item, (aligned, altered) by first word
+        for j, word in enumerate(words):
+            recent = [r for r in recent if j - r[0] <= STEP]
+            fresh = []
+            for i in spots.get(word, ()):
+                own = total[i + 1] - total[i]
+                runs = {i: (own, 0.0)}
+                for last, end, before in recent:
+                    if not 0 < i - end <= STEP:
+                        continue
+                    # words only put in between count as altered ones, too
+                    gap = total[i] - total[end + 1] if i > end + 1 else float(j - last - 1)
+                    if gap > 2:
+                        continue
+                    for first, (aligned, altered) in before.items():
+                        longer = (aligned + own, altered + gap)
+                        if first not in runs or longer[0] - longer[1] > runs[first][0] - runs[first][1]:
+                            runs[first] = longer
+                for first, (aligned, altered) in runs.items():
+                    if total[i + 1] - total[first] >= LEAST_WORDS - 1e-9 and aligned >= LEAST_INTACT * (aligned + altered) - 1e-9:
+                        return True
+                fresh.append((j, i, runs))
+            recent += fresh
         return False
 
     @staticmethod

@@ -51,6 +51,22 @@ def test_cases(spark):
     assert found == want
 
 
+def test_one_and_two_altered_words_at_every_place():
+    item = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    index = ItemIndex([(1, item, [1.0] * 60)], set(), {w: 1 for w in item})
+
+    def carries(*altered):
+        words = [w if k not in altered else "altered" for k, w in enumerate(item[20:35])]
+        words = ["before"] * 20 + words + ["after"] * 20
+        places, texts = index.near(index.fingerprints(words))
+        return bool(len(places)) and index.carries(words, 0, places.tolist())
+
+    for a in range(1, 14):
+        assert carries(a), a
+        assert all(carries(a, b) for b in range(a + 1, 14)), a
+    assert not any(carries(a, 7) for a in (0, 14)) and not carries(3, 7, 11)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, t) for k, (t, _) in cases().items()], "doc string, text string")
     items = spark.createDataFrame(list(ITEMS.items()), "item_id int, text string")
