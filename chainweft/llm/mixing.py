@@ -8,7 +8,8 @@ other children. A leaf uses whole epochs of all its documents as far as the budg
 one more epoch in an order seeded by document and epoch.
 
 Sizes are counted in tokens over whole texts once and written to the shared folder. Sizes of leaves, not of documents,
-go to the driver: at most ``MAX_LEAVES``; beyond that the lowest level is left out of the tree. The prefix needs no
+go to the driver: at most ``MAX_LEAVES``; beyond that the lowest level is left out of the tree, down to
+the sources, of which there are no more than targets. The prefix needs no
 sorted leaf: documents are dealt to ``BUCKETS`` ranges of their seeded order, the ranges' sums tell in which one the
 budget ends, and only that range is sorted.
 
@@ -152,8 +153,11 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source: Column, target
     sizes, _ = WrittenTables(spark, "mixing").write(with_tokens(spread(slim).join(keys, "__source", "left_semi").select("__id", *levels, "__text"), "__text", tokenizer))
     while True:
         grouped = sizes.groupBy(*levels).agg(F.sum("tokens").alias("size"))
+        if len(levels) == 1:
+            rows = grouped.collect()  # no more than the targets, which the driver has already
+            break
         rows = grouped.limit(MAX_LEAVES + 1).collect()
-        if len(rows) <= MAX_LEAVES or len(levels) == 1:
+        if len(rows) <= MAX_LEAVES:
             break
         levels = levels[:-1]
     leaves = [Leaf(tuple(r[c] for c in levels), r["size"], wanted[r["__source"]]["max_repeats"]) for r in sorted(rows)]
@@ -177,8 +181,9 @@ def draw(mix: Mix, seed: int = 0) -> DataFrame:
         rest = int(leaf.budget + 1e-6) - whole * leaf.size if whole < leaf.uses else 0
         plan.append((*leaf.path, whole, max(0, rest)))
     schema = ", ".join(f"{c} string" for c in mix.levels) + ", __whole int, __rest long"
-    # leaves are at most MAX_LEAVES, so is this table
-    leaves = F.broadcast(spark.createDataFrame(plan, schema))
+    leaves = spark.createDataFrame(plan, schema)
+    if len(plan) <= MAX_LEAVES:
+        leaves = F.broadcast(leaves)
     order = F.xxhash64(F.col("__id"), F.col("__whole"), F.lit(seed))
     dealt = mix.sizes.join(leaves, mix.levels).withColumn("__order", order).withColumn("__bucket", F.shiftrightunsigned("__order", 52).cast("int"))
     sums = dealt.where(F.col("__rest") > 0).groupBy(*mix.levels, "__bucket").agg(F.sum("tokens").alias("__sum"), F.first("__rest").alias("__rest"))

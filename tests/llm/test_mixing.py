@@ -70,3 +70,14 @@ def test_no_documents(spark):
     mix = plan_mix(docs, "doc_id", "text", F.col("source"), targets)
     assert [t["short"] for t in mix.report] == [True]
     assert draw(mix).count() == 0 and reached_shares(mix).count() == 1
+
+
+def test_every_source_counts_beyond_the_most_leaves(spark, monkeypatch):
+    from chainweft.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 3)
+    docs = spark.createDataFrame([(k, "ether wallet", "en", f"s{k}") for k in range(8)], "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([(f"s{k}", 0.125, 1) for k in range(8)], "source string, target_share double, max_repeats int")
+    mix = plan_mix(docs, "doc_id", "text", F.col("source"), targets, {"language": F.col("lang")})
+    assert all(t["size"] > 0 and not t["short"] for t in mix.report) and len(mix.report) == 8
+    assert draw(mix).count() == 8
