@@ -25,6 +25,12 @@ def per_key(df: DataFrame, sides: dict[str, Column], measures: dict[str, Column]
 
 
 def heavy_hitters(df: DataFrame, sides: dict[str, Column], share: float) -> DataFrame:
-    """(side, key, rows) of the keys that hold at least ``share`` of all rows on their side."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return per_key(df, sides, {}).where((F.length("key") > 0) & (F.col("rows") >= total.scalar() * share))
+    """(side, key, rows) of the keys that hold at least ``share`` of all rows on their side.
+
+    Every row counts once on each side, null and empty keys included, so the per-key rows add up to the total. Both
+    come from one exchange, as neither filter can be moved below the aggregation.
+    """
+    rows = per_key(df, sides, {})
+    total = rows.agg((F.sum("rows") / len(sides)).alias("__total"))
+    named = F.when(F.length("key") > 0, F.col("rows")).otherwise(F.lit(-1))
+    return rows.where(named >= total.scalar() * share)

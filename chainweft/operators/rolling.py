@@ -4,9 +4,9 @@ Trailing totals use block decomposition: days are cut into blocks as long as the
 block's start and suffix sums to each block's end, the total of any window is the suffix of the block it begins in
 plus the prefix of the block it ends in. That is one addition for each day and window, however long the window.
 
-Trailing-hour counts look back one hour only, so each entity's time line is cut into days, and the last hour of a day
-is also given to the next one as a halo. An entity that holds a large share of all rows is thereby spread over its
-days; after that only one compact row for each entity and active day is shuffled.
+Trailing-hour counts look back one hour only, so each entity's time line is cut into buckets as long as that, and each
+bucket's rows are also given to the next one as a halo. An entity that holds a large share of all rows is thereby
+spread over its active hours; after that only one compact row for each entity, day and task is shuffled.
 
 Defined cases: null or empty entities and rows without a time have no totals. A null value counts as nothing, its row
 still as one. Rows with equal time see each other. Days outside the calendar, and a window's days before it, are empty.
@@ -23,9 +23,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainweft.operators.decimals import LIMBS, decimals, limbs
+
 DAY_S = 86400
-#: 128-bit totals are summed as four 32-bit limbs in 64-bit integers, which leaves room for 2^31 terms.
-LIMBS = 4
+
+
+def in_buckets(rows: DataFrame, time: str, length_s: int, carried: list[str], bucket: str) -> DataFrame:
+    """``rows`` with the bucket of ``length_s`` seconds that holds each, and once more, marked ``__halo``, for the next.
+
+    A row's trailing window of that length then lies within its own bucket and the halo. Halo rows leave the
+    ``carried`` columns null, as nothing reads them there.
+    """
+    own = F.floor(F.col(time) / F.lit(length_s))
+    places = F.array(F.struct(own.alias(bucket), F.lit(False).alias("__halo")), F.struct((own + 1).alias(bucket), F.lit(True).alias("__halo")))
+    twice = rows.withColumn("__place", F.explode(places)).select(*rows.columns, "__place.*")
+    return twice.withColumns({c: F.when(~F.col("__halo"), F.col(c)) for c in carried})
 
 
 def daily_activity(events: DataFrame, lookback_s: int = 3600) -> DataFrame:
@@ -33,18 +45,14 @@ def daily_activity(events: DataFrame, lookback_s: int = 3600) -> DataFrame:
 
     ``events`` is (entity string, time long in epoch seconds, value decimal(38,0)); ``day`` counts days since the
     epoch; ``peak`` is the largest number of the entity's rows in the ``lookback_s`` seconds up to one of the day's
-    rows, both ends included. ``lookback_s`` is at most a day.
+    rows, both ends included.
     """
-    day = F.floor(F.col("time") / F.lit(DAY_S)).cast("int")
-    late = F.pmod(F.col("time"), F.lit(DAY_S)) >= DAY_S - lookback_s
-    rows = events.where((F.length("entity") > 0) & F.col("time").isNotNull()).select("entity", "time", "value", F.explode(F.when(late, F.array(day, day + 1)).otherwise(F.array(day))).alias("day"))
-    trailing = Window.partitionBy("entity", "day").orderBy("time").rangeBetween(-lookback_s, Window.currentRow)
-    counted = rows.withColumn("recent", F.count(F.lit(1)).over(trailing))
-    own = F.floor(F.col("time") / F.lit(DAY_S)) == F.col("day")
-    return (
-        counted.where(own)
-        .groupBy("entity", "day")
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0)).cast(T.DecimalType(38, 0)).alias("total"), F.max("recent").alias("peak"))
+    known = events.where((F.length("entity") > 0) & F.col("time").isNotNull()).select("entity", "time", "value")
+    rows = in_buckets(known, "time", lookback_s, ["value"], "bucket")
+    trailing = Window.partitionBy("entity", "bucket").orderBy("time").rangeBetween(-lookback_s, Window.currentRow)
+    counted = rows.withColumn("recent", F.count(F.lit(1)).over(trailing)).where(~F.col("__halo"))
+    return counted.groupBy("entity", F.floor(F.col("time") / F.lit(DAY_S)).cast("int").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0)).cast(T.DecimalType(38, 0)).alias("total"), F.max("recent").alias("peak")
     )
 
 
@@ -68,23 +76,6 @@ def trailing_sums(values: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _limbs(column: pa.Array) -> np.ndarray:
-    """Decimal(38,0) values as rows of 32-bit limbs, the highest one signed."""
-    column = column if column.offset == 0 else pa.concat_arrays([column])
-    raw = np.frombuffer(column.buffers()[1], np.uint32, count=len(column) * LIMBS).reshape(-1, LIMBS).astype(np.int64)
-    raw[:, LIMBS - 1] = raw[:, LIMBS - 1].astype(np.int32)
-    return raw
-
-
-def _decimals(limbs: np.ndarray) -> pa.Array:
-    """The inverse of ``_limbs`` for sums of limbs, which may overflow into the next one."""
-    flat = limbs.reshape(-1, LIMBS).copy()
-    for k in range(LIMBS - 1):
-        flat[:, k + 1] += flat[:, k] >> 32
-        flat[:, k] &= 0xFFFFFFFF
-    return pa.Array.from_buffers(pa.decimal128(38, 0), len(flat), [None, pa.py_buffer(flat.astype(np.uint32).tobytes())])
-
-
 def _spread(windows: Sequence[int], first_day: int, days: int):
     """Lays the active days of each entity on the calendar and emits every day with its trailing totals."""
 
@@ -103,14 +94,14 @@ def _spread(windows: Sequence[int], first_day: int, days: int):
                 total = np.zeros((many, days, LIMBS), np.int64)
                 n[place] = flat.field("n").to_numpy(zero_copy_only=False)[inside]
                 peak[place] = flat.field("peak").to_numpy(zero_copy_only=False)[inside]
-                total[place] = _limbs(flat.field("total"))[inside]
+                total[place] = limbs(flat.field("total"))[inside]
                 out = {
                     "entity": batch["entity"].take(pa.array(np.repeat(np.arange(many), days))),
                     "day": pa.array(np.tile(np.arange(first_day, first_day + days, dtype=np.int32), many)),
                 }
                 for w in windows:
                     out[f"n_{w}d"] = pa.array(trailing_sums(n, w).ravel())
-                    out[f"total_{w}d"] = _decimals(trailing_sums(total, w))
+                    out[f"total_{w}d"] = decimals(trailing_sums(total, w))
                 out["peak"] = pa.array(peak.ravel())
                 yield pa.record_batch(out)
 

@@ -1,7 +1,7 @@
 """Activity of a sender shortly before each of its rows.
 
-``recent_activity`` looks back by event time. Each sender's rows are cut into days, with the end of a day given to the
-next one as a halo, so that a sender with a large share of all rows is spread over its days.
+``recent_activity`` looks back by event time. Each sender's rows are cut into buckets as long as the window, and each
+bucket is given to the next one as a halo, so that a sender with a large share of all rows is spread over its hours.
 
 ``ArrivalHistory`` looks back over what had arrived: a row sees the earlier arrivals of its sender that aren't older
 than the window, and drops those that are, for good. That is a sequential fold over one sender's rows; in batch they
@@ -19,19 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweft.operators.rolling import DAY_S
+from chainweft.operators.rolling import in_buckets
 
 
 def recent_activity(rows: DataFrame, entity: str, time: str, order: str, value: str, window_s: int = 3600, burst: int = 20) -> DataFrame:
     """``rows`` with the count and sum over the trailing window, the gap to the row before, and a burst flag.
 
-    The gap is -1 if there was no row within the window. ``window_s`` is at most a day; ``value`` is decimal or long.
+    The gap is -1 if there was no row within the window. It is a burst from ``burst`` rows on. ``value`` is decimal or
+    long.
     """
-    day = F.floor(F.col(time) / F.lit(DAY_S))
-    late = F.pmod(F.col(time), F.lit(DAY_S)) >= DAY_S - window_s
     known = rows.where((F.length(entity) > 0) & F.col(time).isNotNull())
-    spread = known.withColumn("__day", F.explode(F.when(late, F.array(day, day + 1)).otherwise(F.array(day))))
-    by = Window.partitionBy(entity, "__day")
+    spread = in_buckets(known, time, window_s, [c for c in rows.columns if c not in (entity, time, order, value)], "__bucket")
+    by = Window.partitionBy(entity, "__bucket")
     trailing = by.orderBy(time).rangeBetween(-window_s, Window.currentRow)
     gap = F.col(time) - F.lag(time).over(by.orderBy(time, order))
     out = spread.select(
@@ -39,8 +38,8 @@ def recent_activity(rows: DataFrame, entity: str, time: str, order: str, value:
         F.count(F.lit(1)).over(trailing).alias("tx_count"),
         F.coalesce(F.sum(value).over(trailing), F.lit(0)).alias("value_sum"),
         F.when(gap <= window_s, gap).otherwise(F.lit(-1)).alias("since_last"),
-    ).where(F.floor(F.col(time) / F.lit(DAY_S)) == F.col("__day"))
-    return out.withColumn("is_burst", F.col("tx_count") > burst).drop("__day")
+    ).where(~F.col("__halo"))
+    return out.withColumn("is_burst", F.col("tx_count") >= burst).drop("__bucket", "__halo")
 
 
 class ArrivalHistory:

@@ -49,13 +49,13 @@ def tx_log_summary(spark, folder):
 
 
 def velocity_1h(spark, folder):
-    """Count, sum and gap of each transaction's sender over the hour before it, and bursts."""
+    """Count, sum and gap of each transaction's sender over the hour before it; flagged above twenty, a burst from twenty on."""
     rows = velocity.recent_activity(_tx(spark, folder, "seq", "sender", "block_timestamp", "value_wei"), "sender", "block_timestamp", "seq", "value_wei")
-    return rows.select("seq", "sender", "tx_count", F.round(ether(F.col("value_sum")), 9).alias("value_sum"), F.col("since_last").alias("since_last"), "is_burst")
+    return rows.select("seq", "sender", "tx_count", F.round(ether(F.col("value_sum")), 9).alias("value_sum"), F.col("since_last").alias("since_last"), (F.col("tx_count") > 20).alias("velocity_flag"), "is_burst")
 
 
 def velocity_24h(spark, folder):
-    """The same over the day before each transaction, with bursts of more than five."""
+    """The same over the day before each transaction, with bursts from five on."""
     rows = velocity.recent_activity(_tx(spark, folder, "seq", "sender", "block_timestamp", "value_wei"), "sender", "block_timestamp", "seq", "value_wei", 86400, 5)
     return rows.select("seq", "tx_count", F.col("since_last").alias("since_last"), "is_burst")
 
@@ -334,8 +334,8 @@ ORACLES = {
     "tx_normalized": f"WITH {NORM} SELECT seq, tx_hash, block_number, block_timestamp, sender, recipient, round(value_eth, 9) AS value_eth, round(log_value_eth, 9) AS log_value_eth, is_high_value, gas, round(gas_price_gwei, 9) AS gas_price_gwei, selector, input_length, is_creation, is_call, chain FROM norm",
     "tx_distinct": f"WITH {TX} SELECT seq, tx_hash, sender, recipient, selector, chain FROM tx",
     "tx_log_summary": f"WITH {TX} SELECT seq, left(tx_hash, 12) || '...' AS tx, left(sender, 10) AS sender, coalesce(left(recipient, 10), 'CONTRACT_CREATION') AS recipient, round(value_eth, 9) AS value_eth FROM tx",
-    "velocity_1h": f"WITH {TX}, v AS (SELECT seq, sender, count(*) {_WIN.format(3600)} AS tx_count, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, sender, tx_count, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS value_sum, CASE WHEN gap <= 3600 THEN gap ELSE -1 END AS since_last, tx_count > 20 AS is_burst FROM v",
-    "velocity_24h": f"WITH {TX}, v AS (SELECT seq, count(*) {_WIN.format(86400)} AS tx_count, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, tx_count, CASE WHEN gap <= 86400 THEN gap ELSE -1 END AS since_last, tx_count > 5 AS is_burst FROM v",
+    "velocity_1h": f"WITH {TX}, v AS (SELECT seq, sender, count(*) {_WIN.format(3600)} AS tx_count, sum(value_wei) {_WIN.format(3600)} AS s, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, sender, tx_count, round(s::DECIMAL(38,0)::DOUBLE / 1e18, 9) AS value_sum, CASE WHEN gap <= 3600 THEN gap ELSE -1 END AS since_last, tx_count > 20 AS velocity_flag, tx_count >= 20 AS is_burst FROM v",
+    "velocity_24h": f"WITH {TX}, v AS (SELECT seq, count(*) {_WIN.format(86400)} AS tx_count, {_GAP} AS gap FROM tx WHERE sender IS NOT NULL) SELECT seq, tx_count, CASE WHEN gap <= 86400 THEN gap ELSE -1 END AS since_last, tx_count >= 5 AS is_burst FROM v",
     "last_row_per_sender": f"WITH {TX} SELECT sender, block_timestamp, seq, gas, input_length FROM tx WHERE sender IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sender ORDER BY block_timestamp DESC, seq DESC) = 1",
     "gas_percentile": f"WITH {TX} SELECT DISTINCT chain, gas, round(cume_dist() OVER (PARTITION BY chain ORDER BY gas), 9) AS share FROM tx WHERE gas IS NOT NULL",
     "value_stats_by_chain": f"WITH {TX} SELECT chain, count(gas) AS n, round(avg(gas), 3) AS mean, round(stddev_pop(gas), 3) AS std, round(quantile_cont(gas, 0.5), 3) AS median, round(quantile_cont(gas, 0.95), 3) AS p95, sum(gas)::DOUBLE AS total, max(gas)::DOUBLE AS most FROM tx GROUP BY 1",

@@ -3,6 +3,7 @@ from datetime import date
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,41 @@ def test_wide_rows_shuffle_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_wide_rows_sort_their_buckets(spark):
+    plan = entity_features(spark.createDataFrame([("a", "x", 1, Decimal(1))], EVENTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [entity" in plan and plan.index("MapInArrow") < plan.index("Sort [entity") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_streamed_runs_against_brute_force(monkeypatch, block):
+    from chainweft.operators import entity_features as module
+
+    rng = np.random.default_rng(block)
+    kinds = [None, "p", "q", "r"]
+    rows = sorted(((f"e{rng.integers(5)}", kinds[rng.integers(4)], int(rng.integers(9)), Decimal(int(rng.integers(-99, 99))) * 10**30 if rng.random() < 0.7 else None, int(rng.integers(99)) if rng.random() < 0.6 else None) for _ in range(200)), key=lambda r: (r[0], r[1] or ""))
+    monkeypatch.setattr(module, "MERGE_ROWS", block)
+    columns = list(zip(*rows))
+    table = pa.table({"entity": columns[0], "type": pa.array(columns[1], pa.string()), "n": columns[2], "total": pa.array(columns[3], pa.decimal128(38, 0)), "first": pa.array(columns[4], pa.int64()), "last": pa.array(columns[4], pa.int64())})
+    got = [r for b in module._stream_runs(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert [r["entity"] for r in got] == sorted({r[0] for r in rows})
+
+    def figures(some):
+        totals, times = [r[3] for r in some if r[3] is not None], [r[4] for r in some if r[4] is not None]
+        return {"n": sum(r[2] for r in some), "total": sum(totals) if totals else None, "first": min(times, default=None), "last": max(times, default=None)}
+
+    for r in got:
+        own = [x for x in rows if x[0] == r["entity"]]
+        assert {k: r[k] for k in ("n", "total", "first", "last")} == figures(own)
+        assert dict(r["types"]) == {k: figures([x for x in own if x[1] == k]) for k in {x[1] for x in own} if k}
+
+
+def test_heavy_hitters_scan_once(spark, tmp_path):
+    spark.createDataFrame([("h", "t")] * 9 + [("i", None)], "f string, t string").write.parquet(str(tmp_path / "k"))
+    found = heavy_hitters(spark.read.parquet(str(tmp_path / "k")), {"from": F.col("f"), "to": F.col("t")}, 0.5)
+    assert {tuple(r) for r in found.collect()} == {("from", "h", 9), ("to", "t", 9)}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_per_key_and_heavy(spark):
     df = spark.createDataFrame([("h", "t", 1)] * 50 + [(None, "", 2)] * 25 + [(f"k{i}", "t2", None) for i in range(25)], "f string, t string, v int")
     sides = {"from": F.col("f"), "to": F.col("t")}
