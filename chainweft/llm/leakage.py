@@ -1,11 +1,13 @@
 """Evaluation passages that leaked into a corpus: SimHash windows, multi-index Hamming blocks, exact verification.
 
-A document carries an item if it has a long enough run of the item's words, a few of them altered. Every stretch of
-``LEAST_WORDS`` words with at most one word in ten altered, two in fifteen, holds ``WINDOW`` unaltered words in a row
-(13 words in at most three pieces). So windows of that size are taken from every position of items and documents
-alike, and each gets a SimHash of its words, weighted by how few items have them. The fingerprint is cut into
-``BLOCKS`` blocks; fingerprints no more than ``RADIUS`` = ``BLOCKS`` - 1 bits apart agree in a whole block, so looking
-up each block by itself finds all pairs within the radius, and those whose windows are the same among them.
+A document carries an item if it has a long enough run of the item's words, a few of them altered. Windows of several
+sizes, ``SIZES`` doubling from five tokens up to the item, are taken from items at every position and from documents at
+every tenth of a window, and each gets a SimHash of its tokens, weighted by the part of a word that a token is and by
+how few items have it. The fingerprint is cut into ``BLOCKS`` blocks; fingerprints no more than ``RADIUS`` = ``BLOCKS`` - 1
+bits apart agree in a whole block, so looking up each block by itself finds all pairs within the radius. The sizes
+complete each other: every stretch of ``LEAST_WORDS`` words with at most two altered holds five unaltered words in a row
+(13 words in at most three pieces), so a window of the smallest size is met exactly; long passages with small changes
+throughout, such as parts of numbers, have no such window, but are near in a larger one.
 
 For each document and item that meet, the document is then compared exactly, over a window as long as the item around
 the places found: shingles of ``SHINGLE`` tokens are chained in the order of both texts, and the words they cover are
@@ -15,9 +17,11 @@ chain has, single words around the places are aligned, so that words beside an a
 ``LEAST_WORDS`` words from the first to the last aligned one, altered ones included, and ``LEAST_INTACT`` of them aligned.
 An altered word at the very end of a passage can't be told from a shorter passage and doesn't count.
 
-Items are a stated query set: their index is built block by block, each of at most ``BLOCK_TOKENS`` tokens, and each
-block is broadcast and compared with all documents, so what is broadcast has that bound however many items there are.
-Documents need no shuffle; they are read once for each block.
+Items are a stated query set. Tasks tokenize them, count how many of them have a word or a run of words, deal them to
+blocks of about ``BLOCK_TOKENS`` tokens and build an index for each block, all in tables. One block's index at a time
+goes through the driver to all tasks; its pairs are written and its broadcast is destroyed before the next, so what is
+held has that bound however many items there are. Documents need no shuffle; if there are several blocks, they are
+tokenized once into a written table.
 
 Defined cases: null and empty texts carry nothing and leak nothing. Items with the same words are one text, reported
 under each identifier; items shorter than ``LEAST_WORDS`` words can't be found. Repeated documents are each reported.
@@ -37,14 +41,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chainweft.llm.wording import tokens, weighted_tokens
+from chainweft.llm.wording import weighted_tokens
 from chainweft.operators.spread import spread
+from chainweft.session import WrittenTables
 
 LEAST_WORDS = 15
 LEAST_SIMILARITY = 0.75
 #: Two words in fifteen may be altered.
 LEAST_INTACT = 13 / 15
+#: Tokens of the smallest window; each further size is twice the one before, up to the longest item.
 WINDOW = 5
+#: Windows of a document start at every so many parts of their size, those of items at every token.
+PARTS = 10
 BITS, BLOCKS = 64, 4
 RADIUS = BLOCKS - 1
 #: Tokens of a shingle in the exact comparison, and the most tokens between chained ones.
@@ -53,33 +61,25 @@ SHINGLE, GAP = 3, 8
 STEP = 8
 #: Wording is shared if so many tokens in a row occur in several items.
 SHARED = 6
-#: Tokens of items in one broadcast index, about 200 bytes each.
-BLOCK_TOKENS = 500_000
+#: Tokens of items in one broadcast index on average, about 500 bytes each.
+BLOCK_TOKENS = 200_000
 #: Document tokens whose windows are held at once.
 CHUNK_TOKENS = 1 << 15
 
 BLOCK_BITS = BITS // BLOCKS
 
 
-def shared_marks(texts: list[list[str]]) -> set[int]:
-    """Hashes of the token runs of length ``SHARED`` that occur in more than one of these different texts."""
-    seen: dict[int, int] = {}
-    shared = set()
-    for k, words in enumerate(texts):
-        for i in range(len(words) - SHARED + 1):
-            mark = xxhash.xxh64_intdigest(" ".join(words[i : i + SHARED]))
-            if seen.setdefault(mark, k) != k:
-                shared.add(mark)
-    return shared
+def run_marks(words: list[str]) -> list[int]:
+    """Hashes of the token runs of length ``SHARED``, by position, as signed numbers."""
+    return [xxhash.xxh64_intdigest(" ".join(words[i : i + SHARED])) - (1 << 63) for i in range(len(words) - SHARED + 1)]
 
 
 class ItemIndex:
     """Windows and exact shingles of a block of items."""
 
-    def __init__(self, items: list[tuple[object, list[str], list[float]]], shared: set[int], frequency: dict[str, int]):
-        top = max(frequency.values(), default=1)
-        #: a word counts double if few items have it, else once more than half as much
-        self.weight = {w: 2 if n * 4 > top else 3 for w, n in frequency.items()}
+    def __init__(self, items: list[tuple[object, list[str], list[float]]], shared: set[int], common: set[str]):
+        #: words that more than a quarter as many items have as have the most frequent one
+        self.common = common
         self.texts: list[tuple[list[object], list[str], np.ndarray]] = []
         by_words: dict[tuple, int] = {}
         for ident, words, weights in items:
@@ -87,64 +87,93 @@ class ItemIndex:
                 self.texts[by_words[tuple(words)]][0].append(ident)
                 continue
             by_words[tuple(words)] = len(self.texts)
-            weights = np.array(weights)
-            for i in range(len(words) - SHARED + 1):
-                if xxhash.xxh64_intdigest(" ".join(words[i : i + SHARED])) in shared:
-                    weights[i : i + SHARED] = 0.0
-            self.texts.append(([ident], words, weights))
+            own = np.array(weights)
+            for i, mark in enumerate(run_marks(words)):
+                if mark in shared:
+                    own[i : i + SHARED] = 0.0
+            self.texts.append(([ident], words, own))
         self.shingles = []
         for _, words, _ in self.texts:
             places: dict[tuple, list[int]] = defaultdict(list)
             for i in range(len(words) - SHINGLE + 1):
                 places[tuple(words[i : i + SHINGLE])].append(i)
             self.shingles.append(dict(places))
-        prints, owner = [], []
-        for k, (_, words, weights) in enumerate(self.texts):
-            if len(words) >= WINDOW:
-                keep = np.array([weights[i : i + WINDOW].any() for i in range(len(words) - WINDOW + 1)])
-                own = self.fingerprints(words)[keep]
-                prints.append(own)
-                owner.append(np.full(len(own), k))
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.blocks = []
+        parts = {tuple(words): own for _, words, own in reversed(items)}
+        longest = max((len(words) for _, words, _ in self.texts), default=0)
+        #: for each size of window its fingerprints, the texts they belong to, and the lookup of each block
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        size = WINDOW
+        while size <= longest:
+            prints, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for k, (_, words, own) in enumerate(self.texts):
+                if len(words) >= size:
+                    # wording that several items share makes no window by itself
+                    known = np.concatenate([[0.0], np.cumsum(own)])
+                    keep = known[size:] - known[:-size] > 1e-9
+                    prints.append(self._windows(self._sums(words, self._parts(parts[tuple(words)], size)), size, 1)[keep])
+                    owner.append(np.full(int(keep.sum()), k, np.int32))
+            self._add(size, np.concatenate(prints), np.concatenate(owner))
+            size *= 2
+
+    def _add(self, size: int, prints: np.ndarray, owner: np.ndarray) -> None:
+        blocks = []
         for b in range(BLOCKS):
-            key = self._block(self.prints, b)
-            order = np.argsort(key, kind="stable")
-            self.blocks.append((order, np.searchsorted(key[order], np.arange((1 << BLOCK_BITS) + 1))))
+            key = self._block(prints, b)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            blocks.append((order, np.searchsorted(key[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)))
+        self.sizes[size] = prints, owner, blocks
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
 
-    def fingerprints(self, words: list[str]) -> np.ndarray:
-        """The SimHash of the window at each position."""
+    @staticmethod
+    def _parts(weights: list[float], size: int) -> list[float]:
+        """Weights for windows of a size: all alike in the smallest, which must be met whatever separates a number's parts."""
+        return [1.0] * len(weights) if size == WINDOW else weights
+
+    def _sums(self, words: list[str], weights: list[float]) -> np.ndarray:
+        """Running sums of the weighted signs of each bit, one row more than there are words."""
         number: dict[str, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in words])
+        at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
         digest = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
         signs = np.unpackbits(digest.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
-        signs *= np.array([self.weight.get(w, 3) for w in number], np.int8)[:, None]
-        many = len(words) - WINDOW + 1
-        total = signs[at[:many]].copy()
-        for k in range(1, WINDOW):
-            total += signs[at[k : many + k]]
-        return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, text) of all pairs of a window and an item's window no more than ``RADIUS`` bits apart."""
-        places, texts = [], []
-        for b, (order, starts) in enumerate(self.blocks):
-            key = self._block(prints, b)
-            many = starts[key + 1] - starts[key]
-            place = np.repeat(np.arange(len(prints)), many)
-            within = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
-            mine = order[starts[key][place] + within]
-            close = np.bitwise_count(prints[place] ^ self.prints[mine]) <= RADIUS
-            places.append(place[close])
-            texts.append(self.owner[mine[close]])
-        return np.concatenate(places), np.concatenate(texts)
-
-    def carries(self, words: list[str], text: int, places: list[int]) -> bool:
+        rare = np.array([2 if w in self.common else 3 for w in number], np.float32)
+        # whole numbers, so that sums don't depend on where they begin
+        weigh = np.maximum(1, np.rint(60 * np.array(weights, np.float32) * rare[at])).astype(np.int32)
+        out = np.zeros((len(words) + 1, BITS), np.int32)
+        np.cumsum(signs[at] * weigh[:, None], axis=0, out=out[1:])
+        return out
+
+    @staticmethod
+    def _windows(sums: np.ndarray, size: int, step: int) -> np.ndarray:
+        """The SimHash of the window at every ``step``-th position."""
+        return np.packbits(sums[size::step] > sums[:-size:step], axis=1).view(np.uint64).ravel()
+
+    def near(self, words: list[str], weights: list[float], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, size, text) of all pairs of a window and an item's window no more than ``radius`` bits apart."""
+        places, lengths, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        sums = None
+        for size, (own, owner, blocks) in self.sizes.items():
+            if len(words) < size or not len(own):
+                continue
+            if size <= 2 * WINDOW:  # one for the smallest size, one for all others
+                sums = self._sums(words, self._parts(weights, size))
+            step = max(1, size // PARTS)
+            prints = self._windows(sums, size, step)
+            for b, (order, starts) in enumerate(blocks):
+                key = self._block(prints, b)
+                many = starts[key + 1] - starts[key]
+                place = np.repeat(np.arange(len(prints)), many)
+                within = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+                mine = order[starts[key][place] + within]
+                close = np.bitwise_count(prints[place] ^ own[mine]) <= radius
+                places.append(place[close] * step)
+                lengths.append(np.full(int(close.sum()), size))
+                texts.append(owner[mine[close]])
+        return np.concatenate(places), np.concatenate(lengths), np.concatenate(texts)
+
+    def carries(self, words: list[str], text: int, places: set[int]) -> bool:
         """Whether the words hold a long enough run of an item's text near one of the places."""
         _, item, weights = self.texts[text]
         shingles, reach = self.shingles[text], len(item) + len(item) // 5 + GAP
@@ -222,34 +251,36 @@ class ItemIndex:
 
 
 def _search(index, kind: pa.DataType):
+    """(doc, item) of the documents, given as text or as tokens with weights, that carry an item of the index."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = pickle.loads(index.value)
 
-        def found(held: list[tuple[object, list[str]]]) -> Iterator[tuple]:
-            words = [w for _, own in held for w in own]
-            if len(words) < WINDOW:
-                return
-            starts = np.cumsum([0, *(len(own) for _, own in held)])
-            places, texts = items.near(items.fingerprints(words))
+        def found(held: list[tuple[object, list[str], list[float]]]) -> Iterator[tuple]:
+            words = [w for _, own, _ in held for w in own]
+            starts = np.cumsum([0, *(len(own) for _, own, _ in held)])
+            places, sizes, texts = items.near(words, [w for *_, own in held for w in own])
             doc = np.searchsorted(starts, places, side="right") - 1
-            inside = places + WINDOW <= starts[doc + 1]
-            meet: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for d, k, p in zip(doc[inside].tolist(), texts[inside].tolist(), (places - starts[doc])[inside].tolist()):
-                meet[d, k].append(p)
+            inside = places + sizes <= starts[doc + 1]
+            meet: dict[tuple[int, int], set[int]] = defaultdict(set)
+            for d, k, p, n in zip(doc[inside].tolist(), texts[inside].tolist(), (places - starts[doc])[inside].tolist(), sizes[inside].tolist()):
+                meet[d, k].update(range(p, p + n, WINDOW))
             for (d, k), near in meet.items():
                 if items.carries(held[d][1], k, near):
                     yield from ((held[d][0], ident) for ident in items.texts[k][0])
 
         for batch in batches:
             out, held, size = [], [], 0
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = tokens(text)
-                held.append((ident, own))
-                size += len(own)
+            split = batch.num_columns > 2
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                words, weights = row[1:] if split else weighted_tokens(row[1])
+                held.append((row[0], words, weights))
+                size += len(words)
                 if size >= CHUNK_TOKENS:
                     out += found(held)
                     held, size = [], 0
-            out += found(held)
+            if held:
+                out += found(held)
             if out:
                 docs, leaked = zip(*out)
                 yield pa.record_batch({"doc": pa.array(docs, batch.schema.field(0).type), "item": pa.array(leaked, kind)})
@@ -257,60 +288,73 @@ def _search(index, kind: pa.DataType):
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    block, size = [], 0
-    for ident, text in items.toLocalIterator():
-        words, weights = weighted_tokens(text)
-        if sum(weights) >= LEAST_WORDS - 1e-9:
-            block.append((ident, words, weights))
-            size += len(words)
-        if size >= BLOCK_TOKENS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as tokens and weights."""
+    for batch in batches:
+        words, weights = zip(*map(weighted_tokens, batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+        yield pa.record_batch({"id": batch.column(0), "words": pa.array(words, pa.list_(pa.string())), "weights": pa.array(weights, pa.list_(pa.float64()))})
 
 
-def _item_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, mark) for each token and each run of ``SHARED`` tokens of an item's distinct words, with the text's hash."""
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to tokenized items a hash of their words and the hashes of their runs of ``SHARED`` tokens."""
     for batch in batches:
-        word, mark, text = [], [], []
-        for raw in batch.column(0).to_pylist():
-            own = weighted_tokens(raw)[0]
-            whole = xxhash.xxh64_intdigest(" ".join(own)) >> 1
-            runs = {xxhash.xxh64_intdigest(" ".join(own[i : i + SHARED])) for i in range(len(own) - SHARED + 1)}
-            for w in set(own):
-                word.append(w), mark.append(None), text.append(whole)
-            for m in runs:
-                word.append(None), mark.append(int(np.uint64(m).view(np.int64))), text.append(whole)
-        if text:
-            yield pa.record_batch({"word": pa.array(word, pa.string()), "mark": pa.array(mark, pa.int64()), "text": pa.array(text, pa.int64())})
+        words = batch["words"].to_pylist()
+        text = pa.array([xxhash.xxh64_intdigest(" ".join(own)) - (1 << 63) for own in words], pa.int64())
+        yield pa.record_batch({**{c: batch[c] for c in ("id", "words", "weights")}, "text": text, "marks": pa.array(map(run_marks, words), pa.list_(pa.int64()))})
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """The pickled index of one block of items."""
+    rows = table.select(["id", "words", "weights", "shared", "common"]).sort_by([("id", "ascending")]).to_pylist()
+    shared = {m for r in rows for m in r["shared"] or ()}
+    common = {w for r in rows for w in r["common"] or ()}
+    index = ItemIndex([(r["id"], r["words"], r["weights"]) for r in rows], shared, common)
+    # with its class, which pickling alone wouldn't carry to the executors
+    return pa.table({"block": table["block"].slice(0, 1), "index": pa.array([cloudpickle.dumps(index)], pa.binary())})
+
+
+def item_indexes(tables: WrittenTables, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(block, index) of all items long enough to be found, built in tasks."""
+    kind = items.schema[item_id].dataType.simpleString()
+    known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("t")).distinct()
+    split = known.mapInArrow(_split, f"id {kind}, words array<string>, weights array<double>").mapInArrow(_marked, f"id {kind}, words array<string>, weights array<double>, text long, marks array<long>")
+    every, _ = tables.write(split)
+    once = every.dropDuplicates(["text"])
+    words = once.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    common = words.where(F.col("n") * 4 > words.agg(F.max("n")).scalar()).select("word", F.lit(True).alias("hit"))
+    shared = once.select(F.explode(F.array_distinct("marks")).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", F.lit(True).alias("hit"))
+    # an item's own row is exploded and gathered again, so a group is bounded by one item
+    long_enough = every.where(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x) >= LEAST_WORDS - 1e-9).withColumn("row", F.monotonically_increasing_id())
+    chosen, _ = tables.write(long_enough)
+    own_marks = chosen.select("row", F.explode(F.array_distinct("marks")).alias("mark")).join(shared, "mark").groupBy("row").agg(F.collect_list("mark").alias("shared"))
+    own_words = chosen.select("row", F.explode(F.array_distinct("words")).alias("word")).join(common, "word").groupBy("row").agg(F.collect_list("word").alias("common"))
+    many = chosen.agg(F.sum(F.size("words"))).first()[0] or 0
+    # items with the same words stay together
+    block = F.pmod(F.xxhash64("text"), F.lit(-(-many // BLOCK_TOKENS) or 1)).cast("int").alias("block")
+    ready = chosen.join(own_marks, "row", "left").join(own_words, "row", "left").select("id", "words", "weights", "shared", "common", block)
+    indexes, _ = tables.write(ready.groupBy("block").applyInArrow(_build, "block int, index binary"))
+    return indexes
 
 
 def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id) of each document that carries part of an item, once."""
     spark = docs.sparkSession
+    tables = WrittenTables(spark, "leakage")
     names = (doc_id, item_id) if doc_id != item_id else (doc_id, f"item_{item_id}")
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    texts = spread(docs.select(F.col(doc_id), F.col(doc_text)))
-    items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text)
-    marks = items.select(item_text).mapInArrow(_item_statistics, "word string, mark long, text long").distinct().groupBy("word", "mark").count()
-    counted = marks.cache()
-    parts = []
-    for block in _blocks(items):
-        words = {w for _, own, _ in block for w in own}
-        hashes = {int(np.uint64(xxhash.xxh64_intdigest(" ".join(own[i : i + SHARED]))).view(np.int64)) for _, own, _ in block for i in range(len(own) - SHARED + 1)}
-        known = spark.createDataFrame(pa.table({"word": pa.array(list(words), pa.string())}))
-        frequency = {r.word: r["count"] for r in counted.where(F.col("word").isNotNull()).join(known, "word", "left_semi").toLocalIterator()}
-        common = spark.createDataFrame(pa.table({"mark": pa.array(list(hashes), pa.int64())}))
-        shared = {int(np.int64(r.mark).view(np.uint64)) for r in counted.where((F.col("count") > 1) & F.col("mark").isNotNull()).join(common, "mark", "left_semi").toLocalIterator()}
-        # pickled with its class, which broadcasts by themselves wouldn't carry to the executors
-        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(block, shared, frequency)))
-        parts.append(texts.mapInArrow(_search(index, to_arrow_type(items.schema[item_id].dataType)), f"doc {kinds[0]}, item {kinds[1]}"))
-    counted.unpersist()
-    if not parts:
+    indexes = item_indexes(tables, items, item_id, item_text)
+    blocks = sorted(r[0] for r in indexes.select("block").collect())
+    if not blocks:
         return spark.createDataFrame([], f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.toDF(*names).distinct()
+    texts = spread(docs.where(F.length(doc_text) > 0).select(F.col(doc_id), F.col(doc_text).cast("string")))
+    if len(blocks) > 1:
+        texts, _ = tables.write(texts.mapInArrow(_split, f"id {kinds[0]}, words array<string>, weights array<double>"))
+    parts = []
+    for block in blocks:
+        index = spark.sparkContext.broadcast(bytes(indexes.where(F.col("block") == block).first()["index"]))
+        found = texts.mapInArrow(_search(index, to_arrow_type(items.schema[item_id].dataType)), f"doc {kinds[0]}, item {kinds[1]}")
+        if len(blocks) == 1:
+            return found.toDF(*names).distinct()
+        parts.append(tables.write(found)[1])
+        index.destroy()
+    return spark.read.schema(f"doc {kinds[0]}, item {kinds[1]}").parquet(*parts).toDF(*names).distinct()

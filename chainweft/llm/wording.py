@@ -21,8 +21,9 @@ _BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-\u2010]\s*\n\s*(?=[^\W\d_])")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f-\u1160\u17b4-\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb]")
 _APOSTROPHE = re.compile("(?<=\\w)['’‘ʼ`´](?=\\w)")
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
-#: A number with its separators, which counts as one word.
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+#: A word, or a number with its separators, which counts as one word.
+_PIECE = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+_SEPARATOR = re.compile("[.,]")
 
 
 def plain(text: str) -> str:
@@ -51,15 +52,14 @@ def tokens(text: str | None) -> list[str]:
 
 def weighted_tokens(text: str | None) -> tuple[list[str], list[float]]:
     """The tokens, each with the part of a word that it is: a number in several parts is one word."""
-    words, weights = [], []
-    for piece in re.finditer(r"\S+", plain(text or "")):
-        at = 0
-        for number in _NUMBER.finditer(piece.group()):
-            before, parts = _TOKEN.findall(piece.group()[at : number.start()]), re.findall(r"\d+", number.group())
-            words += before + parts
-            weights += [1.0] * len(before) + [1.0 / len(parts)] * len(parts)
-            at = number.end()
-        rest = _TOKEN.findall(piece.group()[at:])
-        words += rest
-        weights += [1.0] * len(rest)
+    words: list[str] = []
+    weights: list[float] = []
+    for piece in _PIECE.findall(plain(text or "")):
+        if "," in piece or "." in piece:
+            parts = _SEPARATOR.split(piece)
+            words += parts
+            weights += [1.0 / len(parts)] * len(parts)
+        else:
+            words.append(piece)
+            weights.append(1.0)
     return words, weights

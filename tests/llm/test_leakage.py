@@ -53,13 +53,13 @@ def test_cases(spark):
 
 def test_one_and_two_altered_words_at_every_place():
     item = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
-    index = ItemIndex([(1, item, [1.0] * 60)], set(), {w: 1 for w in item})
+    index = ItemIndex([(1, item, [1.0] * 60)], set(), set())
 
     def carries(*altered):
         words = [w if k not in altered else "altered" for k, w in enumerate(item[20:35])]
         words = ["before"] * 20 + words + ["after"] * 20
-        places, texts = index.near(index.fingerprints(words))
-        return bool(len(places)) and index.carries(words, 0, places.tolist())
+        places, _, _ = index.near(words, [1.0] * len(words))
+        return bool(len(places)) and index.carries(words, 0, set(places.tolist()))
 
     for a in range(1, 14):
         assert carries(a), a
@@ -85,21 +85,42 @@ def test_nothing(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=30), st.data())
 def test_blocks_find_all_within_the_radius(prints, data):
-    index = ItemIndex([], set(), {})
-    index.prints, index.owner = np.array(prints, np.uint64), np.arange(len(prints))
-    index.blocks = []
-    for b in range(leakage.BLOCKS):
-        key = index._block(index.prints, b)
-        order = np.argsort(key, kind="stable")
-        index.blocks.append((order, np.searchsorted(key[order], np.arange((1 << leakage.BLOCK_BITS) + 1))))
+    index = ItemIndex([], set(), set())
+    index._add(leakage.WINDOW, np.array(prints, np.uint64), np.arange(len(prints), dtype=np.int32))
     bits = data.draw(st.lists(st.integers(0, 63), max_size=RADIUS))
     asked = prints[0]
     for b in bits:
         asked ^= 1 << b
-    found = set(index.near(np.array([asked], np.uint64))[1].tolist())
+    index._windows = lambda sums, size, step: np.array([asked], np.uint64)
+    found = set(index.near(["w"] * leakage.WINDOW, [1.0] * leakage.WINDOW)[2].tolist())
     assert found == {k for k, p in enumerate(prints) if (p ^ asked).bit_count() <= RADIUS}
 
 
+def with_numbers(seed, changed):
+    """Two words and a number of five parts in turn; of each number the first and last part may change."""
+    rng, words = random.Random(seed), []
+    for _ in range(6):
+        words += [rng.choice(VOCABULARY) for _ in range(2)]
+        first, *middle, last = (rng.randrange(100, 999) for _ in range(5))
+        words.append(f"{first + changed},{middle[0]},{middle[1]},{middle[2]}.{last + changed}")
+    return words
+
+
+def test_small_changes_throughout_are_found_within_the_radius_only(spark):
+    texts = {k: " ".join(["before"] * 20 + with_numbers(k, 1) + ["after"] * 20) for k in range(60)}
+    items = {k: " ".join(with_numbers(k, 0)) for k in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    found = {tuple(r) for r in leaked_items(df, "doc", "text", spark.createDataFrame(list(items.items()), "item long, text string"), "item", "text").collect()}
+    assert found == {(k, k) for k in range(60)}
+    exact = 0
+    for k in range(60):  # the same with equal fingerprints only
+        index = ItemIndex([(k, *weighted_tokens(items[k]))], set(), set())
+        words, weights = weighted_tokens(texts[k])
+        assert leakage.WINDOW not in set(index.near(words, weights, 0)[1].tolist())
+        exact += any(index.carries(words, 0, set(range(p, p + n, leakage.WINDOW))) for p, n, _ in zip(*map(list, index.near(words, weights, 0))))
+    assert exact <= 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab1 ,.'\n-é<&­", max_size=40))
 def test_weights_follow_the_tokens(text):
