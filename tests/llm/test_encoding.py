@@ -1,7 +1,7 @@
 import pytest
 
 from chainweft.llm import codecs as codings
-from chainweft.llm.encoding import garbled_documents, restored_documents
+from chainweft.llm.encoding import align, garbled_documents, restored_documents
 
 CLEAN = ["Die höchste Gebühr lag bei {} Gwei.", "La comisión más alta fue de {} gwei.", "После перезапуска осталось {} записей.", "The café tab of the Malmö shift – {} paid.", "Limits: {} × 3 calls — enough."]
 QUOTES = ["open the csv and ü turns into Ã¼ in column {}.", "Test row {} holds √ß√£o on purpose; ção has its own row.", "Fonts without a glyph draw � here {}.", "ATENCIÓN: AÑO {} SIN VERIFICAR."]
@@ -85,17 +85,76 @@ def test_a_clean_twin_is_preferred_to_copies_of_its_garbled_form(spark):
     assert all(out[8000 + k].complete and out[8000 + k].text == "Limits: 9 × 3 calls — enough." for k in range(60))
 
 
-def test_coarse_model_and_hot_passages_find_the_same(spark, result, monkeypatch):
+def test_hot_passages_find_the_same(spark, result, monkeypatch):
     from chainweft.llm import encoding
     from chainweft.operators import skew
 
-    monkeypatch.setattr(encoding, "MAX_PAIRS", 10)
     monkeypatch.setattr(encoding, "lookup", lambda left, right, key, rows: skew.lookup(left, right, key, rows, 2))
     odd, clean = garbled(CHAINS)
     df = spark.createDataFrame(corpus() + odd, "doc_id long, text string, place int, state string").repartition(3)
     assert {r[0] for r in garbled_documents(df, "doc_id", "text").collect()} == result[0]
 
 
+SENTENCES = [
+    "La señora Ibáñez revisó {} pagos después de la pausa de mañana.",
+    "Les dépôts étaient bloqués à {} heures, très tôt et sans règle précise.",
+    "A comissão não pôde abrir {} operações até à manhã.",
+    "Für {} Einträge fehlt die Prüfung, größere Beträge wären auffällig.",
+]
+#: pairs of encodings that are not among the usual ones
+UNUSUAL = [("cp1252", "cp737"), ("cp1252", "cp1257"), ("cp1252", "iso8859_7"), ("cp1252", "cp1255"), ("utf-8", "gbk")]
+
+
+def planted(change, first, texts=SENTENCES, n=24):
+    """Near-twins of the sentences after a change of their characters, and what they were; those unchanged are left out."""
+    out, clean = [], {}
+    for k in range(n):
+        whole = texts[k % len(texts)].format(700 + k)
+        odd = change(whole)
+        if odd is not None and odd != whole:
+            out.append((first + k, "Row of the log.\n" + odd, 0, "x"))
+            clean[first + k] = "Row of the log.\n" + whole
+    return out, clean
+
+
+def compared(spark, rows, clean):
+    base = [(10 * k + j, t.format(k) + "\nAll else is well.", 0, "x") for k in range(80) for j, t in enumerate(SENTENCES)]
+    df = spark.createDataFrame(base + rows, "doc_id long, text string, place int, state string").repartition(4)
+    out = {r.doc_id: r for r in restored_documents(df, "doc_id", "text").collect()}
+    assert set(out) == set(clean)
+    assert all(out[k].complete and out[k].text == t for k, t in clean.items())
+
+
+@pytest.mark.parametrize("chain", UNUSUAL, ids="-".join)
+def test_unusual_encodings_are_learned_from_twins(spark, chain):
+    def change(text):
+        pieces = ["".join(codings.garble(x, (chain,)) or "?" if not x.isascii() else x for x in text)]
+        return None if "?" in pieces[0] else pieces[0]
+
+    rows, clean = planted(change, 100_000)
+    assert len(clean) >= 12
+    compared(spark, rows, clean)
+
+
+def test_a_mapping_of_no_encoding_is_learned_from_twins(spark):
+    secret = dict(zip("áñóéôàèãõçüöäß", ["Ա", "ԲԲ", "Գ", "Դ", "ԵԶ", "Է", "Ը", "Թ", "Ժ", "Ի", "Լ", "Խ", "Ծ", "Կ"]))
+    rows, clean = planted(lambda text: "".join(secret.get(x, x) for x in text), 100_000)
+    compared(spark, rows, clean)
+
+
+def test_alignment():
+    assert align(["é", "öß"], ["├⌐", "├Â├ƒ"]) == {"é": "├⌐", "ö": "├Â", "ß": "├ƒ"}
+    assert align(["é", "à", "éà"], ["xxx", "y", "xxxy"]) == {"é": "xxx", "à": "y"}
+    assert align(["é", "é"], ["a", "b"]) is None and align(["é"], ["a", "b"]) is None and align(["é"], ["é"]) is None
+
+
+def test_an_odd_twin_is_no_twin(spark):
+    rows = corpus() + garbled(CHAINS)[0]
+    quotes = [(50_000 + k, f"Row {k} holds {q} on purpose and must stay.", 0, "x") for k, q in enumerate(["Ð¶"] * 9 + ["╨╢", "–∂"] * 2 + ["Ã§Ã£o"] * 12 + ["√ß√£o"] * 3)]
+    df = spark.createDataFrame(rows + quotes, "doc_id long, text string, place int, state string")
+    assert not {r[0] for r in garbled_documents(df, "doc_id", "text").collect()} & {q[0] for q in quotes}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert garbled_documents(df, "doc_id", "text").count() == 0
