@@ -47,8 +47,15 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def canonical_json(columns: list[str]) -> Column:
-    """Compact JSON of the columns with its keys in order; nulls are left out."""
-    return F.to_json(F.struct(*sorted(columns)))
+    """Compact JSON of the columns with its keys in order, nulls written, all but ASCII escaped in lower case.
+
+    Meant for text, whole numbers and booleans; other numbers should be given as text, as their forms differ by writer.
+    """
+    plain = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})
+    plain = F.replace(plain, F.lit("\x7f"), F.lit("\\u007f"))
+    pieces = F.regexp_extract_all(plain, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\.|[^\\]+)"), F.lit(1))
+    lower = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("\\u"), F.lower(x)).otherwise(x)), "")
+    return F.when(plain.contains("\\u"), lower).otherwise(plain)
 
 
 def first_prefix(c: Column, rules: list[tuple[str, int]], default: int) -> Column:

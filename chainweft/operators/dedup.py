@@ -1,6 +1,6 @@
 """Messages delivered more than once: exact quotient hash tables.
 
-An identifier of 32 bytes is permuted by an invertible mix, so clustered identifiers spread evenly and no two become
+An identifier of 32 bytes, or the 32-byte digest of any other text, is permuted by an invertible mix, so clustered identifiers spread evenly and no two become
 equal. Its leading bits, the quotient, choose the shard; the shard's table keeps the complete rest beside the quotient
 and compares all of it, so there are no false matches. Each map task first inserts its own rows into such a table:
 copies that meet there never reach the shuffle, which keeps an identifier that holds a large share of all rows from
@@ -8,18 +8,19 @@ loading one shard. Only one shuffle is needed. Rows of a shard lie together in t
 few whole shards at a time: memory depends on the size of a shard, not on how many of them a task gets.
 
 Defined cases: letter case, outer blanks and a leading ``0x`` of an identifier carry no meaning. Identifiers that
-aren't 32 bytes of hexadecimal text are compared as such text, exactly. A null identifier names no message: its rows
+aren't 32 bytes of hexadecimal text are compared by a digest, and rows that meet must have the same text, else the query
+fails rather than take two identifiers for one. A null identifier names no message: its rows
 repeat nothing and are all kept. Of rows with the same identifier the smallest order value is kept, null coming last;
 among equal ones the smallest hash of the carried columns. Empty input gives an empty result with the same columns.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,25 +140,17 @@ class QuotientTable:
         return self.row[self.used]
 
 
-class _Distinct:
-    """The first row of each identifier, fixed-width ones in a quotient table and the others in a dictionary."""
-
-    def __init__(self) -> None:
-        self.table = QuotientTable()
-        self.others: dict[str, tuple[int, int, int]] = {}
-
-    def add(self, words: np.ndarray, fixed: np.ndarray, other: list, order: np.ndarray, tie: np.ndarray, row: np.ndarray) -> np.ndarray:
-        lost = [self.table.insert(words[fixed], order[fixed], tie[fixed], row[fixed])]
-        spare = []
-        for i in np.flatnonzero(~fixed):
-            if (name := other[i]) is None:
-                continue
-            mine = (int(order[i]), int(tie[i]), int(row[i]))
-            held = self.others.setdefault(name, mine)
-            if held is not mine:
-                spare.append(max(held, mine)[2])
-                self.others[name] = min(held, mine)
-        return np.concatenate([*lost, np.array(spare, np.int64)])
+def _distinct(words: np.ndarray, named: np.ndarray, other: pa.ChunkedArray, order: np.ndarray, tie: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The ``row`` values of rows that repeat an identifier; rows without one repeat nothing."""
+    table = QuotientTable()
+    lost = table.insert(words[named], order[named], tie[named], row[named])
+    if other.null_count < len(other):  # texts behind digests
+        text = pc.fill_null(pc.index_in(other, other.unique()), -1).to_numpy()
+        by = np.lexsort(words.T)
+        same = (words[by[1:]] == words[by[:-1]]).all(axis=1) & named[by[1:]] & named[by[:-1]]
+        if (text[by[1:]] != text[by[:-1]])[same].any():
+            raise ValueError("two identifiers have the same digest")
+    return lost
 
 
 def _numbers(column: pa.ChunkedArray, null: int = LAST) -> np.ndarray:
@@ -198,13 +191,10 @@ def _map_side(want_repeats: bool, carried: list[str]):
             words, fixed = _id_words(block["__id"])
             words = permute(words)
             order, tie = _numbers(block["__order"]), _numbers(block["__tie"], 0)
-            other = block["__other"].to_pylist() if not fixed.all() else []
-            lost = _Distinct().add(words, fixed, other, order, tie, np.arange(block.num_rows))
+            lost = _distinct(words, fixed, block["__other"], order, tie, np.arange(block.num_rows))
+            nameless = ~fixed
             quotient = (words[:, 0] >> np.uint64(64 - QUOTIENT_BITS)).astype(np.int32)
-            nameless = np.zeros(block.num_rows, bool)
-            for i in np.flatnonzero(~fixed):
-                nameless[i] = other[i] is None
-                quotient[i] = (int(order[i]) if nameless[i] else zlib.crc32(other[i].encode())) & ((1 << QUOTIENT_BITS) - 1)
+            quotient[nameless] = (order[nameless] & ((1 << QUOTIENT_BITS) - 1)).astype(np.int32)
             keep = np.ones(block.num_rows, bool)
             keep[lost] = False
             done = np.zeros(block.num_rows, bool)
@@ -221,11 +211,10 @@ def _map_side(want_repeats: bool, carried: list[str]):
     return run
 
 
-def _shard_rows(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+def _shard_rows(block: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray, np.ndarray, np.ndarray]:
     words = np.stack([block[w].to_numpy().view(np.uint64) for w in WORDS], axis=1)
     fixed = block["__fixed"].to_numpy()
-    other = block["__other"].to_pylist() if not fixed.all() else []
-    return words, fixed, other, _numbers(block["__order"]), _numbers(block["__tie"], 0)
+    return words, fixed, block["__other"], _numbers(block["__order"]), _numbers(block["__tie"], 0)
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -250,7 +239,7 @@ def _shard_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield from shards.filter(pa.array(done)).select(["__order"]).combine_chunks().to_batches()
             shards = shards.filter(pa.array(~done))
         words, fixed, other, order, tie = _shard_rows(shards)
-        lost = _Distinct().add(words, fixed, other, order, tie, order)
+        lost = _distinct(words, fixed, other, order, tie, order)
         if len(lost):
             yield pa.record_batch({"__order": pa.array(lost, mask=lost == LAST)})
 
@@ -262,18 +251,19 @@ def _shard_firsts(carried: list[str]):
         for shards in _whole_shards(batches):
             words, fixed, other, order, tie = _shard_rows(shards)
             keep = np.ones(shards.num_rows, bool)
-            keep[_Distinct().add(words, fixed, other, order, tie, np.arange(shards.num_rows))] = False
+            keep[_distinct(words, fixed, other, order, tie, np.arange(shards.num_rows))] = False
             yield from shards.select(carried).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
 def _sharded(df: DataFrame, id_col: str, order_col: str, want_repeats: bool, carried: list[str]) -> DataFrame:
-    ident = fixed_id(F.col(id_col))
+    whole, text = fixed_id(F.col(id_col)), hex_text(F.col(id_col))
+    ident = F.coalesce(whole, F.unhex(F.sha2(F.concat(F.lit("text:"), text), 256)))
     tie = F.xxhash64(*carried) if carried else F.lit(0).cast("long")
     slim = df.select(
         ident.alias("__id"),
-        F.when(ident.isNull(), hex_text(F.col(id_col))).alias("__other"),
+        F.when(whole.isNull(), text).alias("__other"),
         F.col(order_col).cast("long").alias("__order"),
         tie.alias("__tie"),
         *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)),

@@ -5,11 +5,13 @@ partitions - one row each - give the offset of every partition, and only within
 order. Percentiles, cumulative shares, dense numbers and ranked curves are built on it.
 
 Defined cases: null values and NaN take no part in percentiles, shares, histograms and curves. Empty input gives
-no rows, or zeros where a row for each class, bin or threshold is due.
+no rows, or zeros where a row for each class, bin or threshold is due. A null group is a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ from chainweft.functions.scalars import ratio
 from chainweft.session import WrittenTables
 
 
+def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys in which null equals null."""
+    if not keys:
+        return left.crossJoin(right)  # one row without a group
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys))
+    return left.join(named, same, how).drop(*(f"__r_{k}" for k in keys))
+
+
 def running_totals(rows: DataFrame, group: list[str], key: list[str], values: list[str]) -> DataFrame:
     """``rows`` with ``upto_V`` for each value V: its sum over the group's rows up to this key, equal keys included.
 
@@ -29,7 +40,7 @@ def running_totals(rows: DataFrame, group: list[str], key: list[str], values: li
     # one row for each partition and group that begins or ends in it
     offsets = sums.select(*group, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values))
     within = Window.partitionBy(*group, "__part").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = laid.join(offsets, [*group, "__part"])
+    joined = _with(laid, offsets, [*group, "__part"])
     return joined.select(*rows.columns, *((F.sum(v).over(within) + F.col(f"__{v}")).alias(f"upto_{v}") for v in values))
 
 
@@ -42,7 +53,7 @@ def cumulative_share(rows: DataFrame, group: list[str], value: str) -> DataFrame
     """(group, value, share): the share of the group's rows that are no larger than the value."""
     counts = running_totals(_counted(rows, group, value), group, [value], ["n"])
     totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
-    return counts.join(totals, group).select(*group, value, (F.col("upto_n") / F.col("total")).alias("share"))
+    return _with(counts, totals, group).select(*group, value, (F.col("upto_n") / F.col("total")).alias("share"))
 
 
 def value_statistics(rows: DataFrame, group: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
@@ -52,7 +63,7 @@ def value_statistics(rows: DataFrame, group: list[str], value: str, ranks: dict[
     x = F.col(value).cast("double")
     known = rows.where(x.isNotNull() & ~F.isnan(x))
     moments = known.groupBy(*group).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.max(x).alias("max"), F.sum(value).cast("double").alias("sum"))
-    placed = counts.join(plain.withColumnRenamed("n", "total"), group)
+    placed = _with(counts, plain.withColumnRenamed("n", "total"), group)
     picks = []
     for name, p in ranks.items():
         at = F.lit(p) * (F.col("total") - 1)
@@ -62,7 +73,7 @@ def value_statistics(rows: DataFrame, group: list[str], value: str, ranks: dict[
         part = at - F.floor(at)
         picks.append((F.max(low) + (F.max(high) - F.max(low)) * F.max(part)).alias(name))
     percentiles = placed.groupBy(*group).agg(*picks)
-    return moments.join(plain, group).join(percentiles, group)
+    return _with(_with(moments, plain, group), percentiles, group)
 
 
 def dense_numbers(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -84,7 +95,7 @@ def histogram(rows: DataFrame, group: list[str], value: str, low: float, high: f
     """(group, bin, n), with 0 for empty bins."""
     counts = rows.withColumn("bin", bin_number(F.col(value), low, high, bins)).where(F.col("bin").isNotNull()).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
     every = rows.select(*group).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))) if group else rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, [*group, "bin"], "left").select(*group, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return _with(every, counts, [*group, "bin"], "left").select(*group, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def stability_index(rows: DataFrame, is_live: Column, value: str, bins: int = 10, least: float = 1e-6) -> DataFrame:

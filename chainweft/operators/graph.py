@@ -9,11 +9,14 @@ amounts count as 0. Paths visit no wallet twice; a wallet that isn't in the grap
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweft.functions.identity import ether
 from chainweft.operators.distribution import running_totals
+from chainweft.operators.skew import lookup
 from chainweft.session import WrittenTables
 
 
@@ -70,23 +73,25 @@ def ancestors(edge: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 def simple_paths(edge: DataFrame, starts: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """(start, path, hops): paths without repetition of 1 to ``depth`` edges from each start.
 
-    ``most`` is a report limit: the first paths of each start by length and wallets.
+    ``most`` is a report limit: the first paths of each start by length and wallets. A start that has as many is not
+    followed further, as longer paths come after shorter ones; so a level never holds more than ``most`` paths of a
+    start, times the edges of one wallet before ranks are cut in the map tasks.
     """
     tables = WrittenTables(edge.sparkSession, "paths")
-    paths = starts.select(F.col("address").alias("start"), F.array("address").alias("path")).distinct()
+    paths = starts.select(F.col("address").alias("start"), F.array("address").alias("path"), F.lit(0).cast("long").alias("had")).distinct()
     levels = []
     for _ in range(depth):
-        longer = paths.join(edge.select(F.col("src").alias("__at"), "dst"), F.element_at("path", -1) == F.col("__at")).where(~F.array_contains("path", F.col("dst")))
-        paths, _ = tables.write(longer.select("start", F.concat("path", F.array("dst")).alias("path")))
-        levels.append(paths)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = every.withColumn("hops", F.size("path") - 1)
-    if most is None:
-        return every
-    by = Window.partitionBy("start").orderBy("hops", "path")
-    return every.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= most).drop("__k")
+        steps = edge.select(F.col("src").alias("__at"), "dst")
+        longer = paths.join(steps, F.element_at("path", -1) == F.col("__at")).where(~F.array_contains("path", F.col("dst"))).select("start", F.concat("path", F.array("dst")).alias("path"), "had")
+        if most is not None:
+            longer = longer.withColumn("__k", F.row_number().over(Window.partitionBy("start").orderBy("path"))).where(F.col("__k") + F.col("had") <= most).drop("__k")
+        level, _ = tables.write(longer)
+        levels.append(level.select("start", "path"))
+        paths = level
+        if most is not None:
+            now = level.groupBy("start").agg((F.first("had") + F.count(F.lit(1))).alias("now"))
+            paths = level.join(now.where(F.col("now") < most), "start").select("start", "path", F.col("now").alias("had"))
+    return reduce(DataFrame.unionByName, levels).withColumn("hops", F.size("path") - 1)
 
 
 def path_links(paths: DataFrame) -> DataFrame:
@@ -120,31 +125,58 @@ def sampled_neighbours(edge: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def neighbour_means(edge: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
-    """(address, means): the mean of each feature over the wallets that sent to the address."""
-    return edge.join(features.withColumnRenamed("address", "src"), "src").groupBy(F.col("dst").alias("address")).agg(*(F.avg(c).alias(c) for c in columns))
+    """(address, means): the mean of each feature over the wallets that sent to the address.
+
+    ``edge`` should be a written table; senders with very many edges are looked up apart.
+    """
+    met = lookup(edge.select("src", "dst"), features.withColumnRenamed("address", "src").withColumn("__met", F.lit(True)), "src", edge.count()).where("__met")
+    return met.groupBy(F.col("dst").alias("address")).agg(*(F.avg(c).alias(c) for c in columns))
 
 
-def label_communities(edge: DataFrame, rounds: int = 10) -> DataFrame:
-    """(address, community) by rounds of label propagation on the undirected graph.
+def sampled_layers(edge: DataFrame, seeds: DataFrame, sizes: list[int], seed: int = 0) -> DataFrame:
+    """(layer, dst, src): neighbours sampled outwards from the seeds, at most ``sizes[k]`` senders of a wallet in layer k.
 
-    Every wallet takes the label that most of its neighbours and itself have, the smallest of several; rounds end when
-    nothing changes or after ``rounds``.
+    Each layer begins from the wallets that the one before first reached.
+    """
+    tables = WrittenTables(edge.sparkSession, "layers")
+    seen, _ = tables.write(seeds.select("address").distinct())
+    front, layers = seen, []
+    for k, size in enumerate(sizes):
+        near = edge.join(front.withColumnRenamed("address", "dst"), "dst", "left_semi")
+        layer, _ = tables.write(sampled_neighbours(near, size, seed + k).withColumn("layer", F.lit(k)))
+        layers.append(layer.select("layer", "dst", "src"))
+        front, _ = tables.write(layer.select(F.col("src").alias("address")).distinct().join(seen, "address", "left_anti"))
+        seen = seen.unionByName(front)
+    return reduce(DataFrame.unionByName, layers)
+
+
+def label_communities(edge: DataFrame) -> DataFrame:
+    """(address, community) by label propagation on the undirected graph, to the end.
+
+    A wallet wants the label that most of its neighbours have, if more have it than have its own, the smallest of
+    several. In each round those wallets change that come first, in an order seeded by the round, among their neighbours
+    who want to. No two neighbours change at once, so each round raises the number of edges within communities: rounds
+    end, and when they do no wallet wants another label.
     """
     tables = WrittenTables(edge.sparkSession, "communities")
     both = edge.where(F.col("src") != F.col("dst")).select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*").distinct()
     both, _ = tables.write(both)
     labels, at = tables.write(both.select(F.col("a").alias("address")).distinct().withColumn("community", F.col("address")))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("address", "b"), "b").select(F.col("a").alias("address"), "community").unionByName(labels)
-        counts = votes.groupBy("address", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("address").agg(F.min(F.struct(-F.col("n"), "community"))["community"].alias("community"))
-        new, new_at = tables.write(best)
-        changed = new.join(labels.withColumnRenamed("community", "was"), "address").where(F.col("community") != F.col("was")).limit(1).count()
-        tables.drop(at)
+    turn = 0
+    while True:
+        votes = both.join(labels.withColumnRenamed("address", "b"), "b").groupBy(F.col("a").alias("address"), "community").agg(F.count(F.lit(1)).alias("n"))
+        most = votes.groupBy("address").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best"))
+        own = labels.join(votes, ["address", "community"], "left").select("address", "community", F.coalesce("n", F.lit(0)).alias("n"))
+        order = F.struct(F.xxhash64("address", F.lit(turn)), "address")
+        wish, wish_at = tables.write(own.join(most, "address").where(-F.col("best.n") > F.col("n")).select("address", F.col("best.community").alias("new"), order.alias("turn")))
+        if not wish.limit(1).count():
+            return labels
+        rival = both.join(wish.select(F.col("address").alias("b"), F.col("turn").alias("other")), "b").groupBy(F.col("a").alias("address")).agg(F.min("other").alias("other"))
+        moved = wish.join(rival, "address", "left").where(F.col("other").isNull() | (F.col("turn") < F.col("other"))).select("address", "new")
+        new, new_at = tables.write(labels.join(moved, "address", "left").select("address", F.coalesce("new", "community").alias("community")))
+        tables.drop(at), tables.drop(wish_at)
         labels, at = new, new_at
-        if not changed:
-            break
-    return labels
+        turn += 1
 
 
 def modularity(edge: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,4 +192,7 @@ def edge_index(edge: DataFrame) -> DataFrame:
     """(src_id, dst_id): edges between dense numbers of the wallets in their order."""
     ends = edge.select(F.explode(F.array("src", "dst")).alias("address")).distinct().withColumn("one", F.lit(1).cast("long"))
     number, _ = WrittenTables(edge.sparkSession, "index").write(running_totals(ends, [], ["address"], ["one"]).select("address", (F.col("upto_one") - 1).alias("id")))
-    return edge.join(number.select(F.col("address").alias("src"), F.col("id").alias("src_id")), "src").join(number.select(F.col("address").alias("dst"), F.col("id").alias("dst_id")), "dst").select("src_id", "dst_id")
+    slim, _ = WrittenTables(edge.sparkSession, "index").write(edge.select("src", "dst"))
+    many = slim.count()
+    named, _ = WrittenTables(edge.sparkSession, "index").write(lookup(slim, number.select(F.col("address").alias("src"), F.col("id").alias("src_id")), "src", many))
+    return lookup(named, number.select(F.col("address").alias("dst"), F.col("id").alias("dst_id")), "dst", many).select("src_id", "dst_id")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweft.functions.scalars import finite
+from chainweft.operators.distribution import threshold_metrics, value_statistics
+from chainweft.session import WrittenTables
 
 #: Rows that an isolation forest is fitted on, and rows of each of its trees.
 FOREST_SAMPLE, TREE_ROWS = 50_000, 256
@@ -47,10 +50,17 @@ def class_separation(rows: DataFrame, label: Column, columns: list[str], limit:
     return rows.agg(F.array(*parts).alias("m")).select(F.inline("m"))
 
 
-def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with each column less its mean, divided by its population deviation."""
-    fit = rows.agg(*(F.avg(_known(c)).alias(f"m_{c}") for c in columns), *(F.stddev_pop(_known(c)).alias(f"s_{c}") for c in columns)).first()
-    scale = {c: (F.coalesce(_known(c), F.lit(fit[f"m_{c}"])) - F.lit(fit[f"m_{c}"])) / F.lit(fit[f"s_{c}"] or 1.0) for c in columns} if fit and fit[f"m_{columns[0]}"] is not None else {}
+def standardised(rows: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
+    """``rows`` with each column less the mean of the training rows, divided by their population deviation.
+
+    Without ``train`` all rows are. A null is the mean, thus 0; a column that is null in all training rows is 0.
+    """
+    parts = [(F.avg(_known(c)).alias(f"m{k}"), F.stddev_pop(_known(c)).alias(f"s{k}")) for k, c in enumerate(columns)]
+    fit = (rows if train is None else train).agg(*(x for pair in parts for x in pair)).first()
+    scale = {}
+    for k, c in enumerate(columns):
+        mean, deviation = fit[f"m{k}"], fit[f"s{k}"]
+        scale[c] = F.lit(0.0) if mean is None else (F.coalesce(_known(c), F.lit(mean)) - F.lit(mean)) / F.lit(deviation or 1.0)
     return rows.withColumns(scale)
 
 
@@ -69,10 +79,46 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (counts.agg(F.sum("n")).scalar() / (counts.agg(F.count(F.lit(1))).scalar() * F.col("n"))).alias("weight"))
 
 
-def stratified_split(rows: DataFrame, ident: str, test_share: float, seed: int = 0) -> DataFrame:
-    """``rows`` with ``split`` train or test, by a seeded hash of the identifier; alike in every class."""
-    place = F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return rows.withColumn("split", F.when(place < test_share, "test").otherwise("train"))
+def seeded(ident: str, seed: int = 0) -> Column:
+    """A repeatable place of an identifier in a shuffled order."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string")), 256)
+
+
+def stratified_split(rows: DataFrame, ident: str, label: str, test_share: float, seed: int = 0) -> DataFrame:
+    """``rows`` with ``split`` test for the given share of each class, rounded to whole rows, else train.
+
+    Of each class the first rows in the seeded order of their identifiers, which should be unique, are for the test.
+    Rows are dealt to 4096 ranges of that order by class; counts of those tell in which range a class's share ends, and
+    only that range is ranked.
+    """
+    placed = rows.withColumn("__order", seeded(ident, seed)).withColumn("__range", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int")).withColumn("__class", F.col(label))
+    counts = placed.groupBy("__class", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    by = Window.partitionBy("__class")
+    upto = F.sum("__n").over(by.orderBy("__range"))
+    wanted = F.floor(F.sum("__n").over(by) * test_share + 0.5)
+    edge = counts.select("__class", "__range", "__n", upto.alias("__upto"), wanted.alias("__wanted")).where(F.col("__upto") > F.col("__wanted"))
+    edge = edge.groupBy("__class").agg(F.min(F.struct("__range", (F.col("__wanted") - F.col("__upto") + F.col("__n")).alias("__left"))).alias("e")).select(F.col("__class").alias("__c"), F.col("e.__range").alias("__last"), "e.__left")
+    joined = placed.join(F.broadcast(edge), F.col("__class").eqNullSafe(F.col("__c")), "left")  # one row for each class
+    inside = Window.partitionBy("__class", "__range").orderBy("__order")
+    ranked = joined.where(F.col("__range") == F.col("__last")).withColumn("__test", F.row_number().over(inside) <= F.col("__left"))
+    others = joined.where(~F.coalesce(F.col("__range") == F.col("__last"), F.lit(False))).withColumn("__test", F.coalesce(F.col("__range") < F.col("__last"), F.lit(True)))
+    return others.unionByName(ranked).withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*rows.columns, "split")
+
+
+def folds(rows: DataFrame, ident: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """``rows`` with ``fold`` 0 to k - 1 by the seeded order of their identifiers."""
+    return rows.withColumn("fold", (F.conv(F.substring(seeded(ident, seed), 1, 8), 16, 10).cast("long") % k).cast("int"))
+
+
+def cross_validated(rows: DataFrame, ident: str, columns: list[str], label: str, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """(fold, rows, precision, recall, f1): the logistic model fitted, scaling included, on all other folds."""
+    dealt, _ = WrittenTables(rows.sparkSession, "folds").write(folds(rows, ident, k).select(*columns, label, "fold"))
+    parts = []
+    for fold in range(k):
+        model = logistic_model(dealt.where(F.col("fold") != fold), columns, label)
+        metrics = threshold_metrics(predicted(model, dealt.where(F.col("fold") == fold), columns), "probability", F.col(label) == 1.0, [threshold])
+        parts.append(metrics.select(F.lit(fold).alias("fold"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"), "precision", "recall", "f1"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def logistic_model(train: DataFrame, columns: list[str], label: str) -> PipelineModel:
@@ -129,7 +175,7 @@ class IsolationForest:
         return np.where(n > 2, 2 * (np.log(m - 1) + np.euler_gamma) - 2 * (m - 1) / m, np.where(n == 2, 1.0, 0.0))
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 100, seed: int = 42, tree_rows: int = TREE_ROWS) -> "IsolationForest":
+    def fit(cls, x: np.ndarray, trees: int = 200, seed: int = 42, tree_rows: int = TREE_ROWS) -> "IsolationForest":
         rng = np.random.default_rng(seed)
         size = min(tree_rows, len(x))
         deepest = int(np.ceil(np.log2(max(size, 2))))
@@ -170,7 +216,7 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.roots) / max(float(self._path(self.rows)), 1e-9))
 
 
-def isolation_scores(rows: DataFrame, ident: str, columns: list[str], trees: int = 100, seed: int = 42, sample: int = FOREST_SAMPLE) -> DataFrame:
+def isolation_scores(rows: DataFrame, ident: str, columns: list[str], trees: int = 200, seed: int = 42, sample: int = FOREST_SAMPLE) -> DataFrame:
     """``rows`` with ``score`` in (0, 1), high for rows that are easily set apart.
 
     The forest is fitted on the ``sample`` rows with the smallest seeded hash of the identifier; all rows are scored.
@@ -189,23 +235,43 @@ def isolation_scores(rows: DataFrame, ident: str, columns: list[str], trees: int
     return filled.withColumn("score", score(*(F.col(c) for c in columns)))
 
 
+def flagged_outliers(scored: DataFrame, score: str, share: float = 0.05) -> DataFrame:
+    """``scored`` with ``scaled`` (min-max of the score) and ``outlier`` for about the given share of highest scores.
+
+    The limit is the percentile by Spark's sketch, exact to a ten-thousandth of the ranks.
+    """
+    limit = scored.agg(F.percentile_approx(score, 1 - share, 10_000).alias("limit")).first()["limit"]
+    return min_max(scored, score, "scaled").withColumn("outlier", F.col(score) > F.lit(limit))
+
+
+def error_threshold(scored: DataFrame, error: str, known_good: Column, rank: float = 0.95) -> DataFrame:
+    """(threshold, scaled): the exact percentile of the error over the rows known to be good, and by min-max of all."""
+    good = value_statistics(scored.where(known_good).select(error), [], error, {"threshold": rank})
+    ends = scored.agg(F.min(_known(error)).alias("low"), F.max(_known(error)).alias("high"))
+    both = good.select("threshold").crossJoin(ends)  # one row each
+    return both.select("threshold", F.coalesce(F.try_divide(F.col("threshold") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5)).alias("scaled"))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, ident: str, vector: str, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, neighbour, similarity): for each query the other row with the largest cosine, the smaller one on ties.
 
-    Each task reduces its rows to one candidate for each query, so what is shuffled is queries times tasks.
+    Queries are compared block by block: a block's vectors are broadcast, its neighbours are written, and the broadcast
+    is destroyed before the next. Each task reduces its rows to one candidate for each query, so what is shuffled is
+    queries times tasks.
     """
     spark = rows.sparkSession
+    tables = WrittenTables(spark, "nearest")
     kind = rows.schema[ident].dataType.simpleString()
-    parts, held = [], []
+    schema = f"query {kind}, neighbour {kind}, similarity double"
+    paths, held = [], []
 
-    def compare(own: list) -> DataFrame:
+    def compare(own: list) -> None:
         names = [r[0] for r in own]
-        unit = _unit(np.array([r[1] for r in own], float))
-        shared = spark.sparkContext.broadcast((names, unit))
+        shared = spark.sparkContext.broadcast((names, _unit(np.array([r[1] for r in own], float))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             asked, units = shared.value
-            best: dict[int, tuple] = {}
+            top: dict[int, tuple] = {}
             for batch in batches:
                 batch = batch.sort_values(ident, kind="stable")
                 if not len(batch):
@@ -216,27 +282,27 @@ def nearest(rows: DataFrame, queries: DataFrame, ident: str, vector: str, block:
                 for q, k in enumerate(near.argmax(axis=1)):
                     if near[q, k] > -np.inf:
                         mine = (near[q, k], ids[k])
-                        held = best.get(q)
+                        held = top.get(q)
                         if held is None or mine[0] > held[0] or mine[0] == held[0] and mine[1] < held[1]:
-                            best[q] = mine
-            if best:
-                yield pd.DataFrame([(asked[q], i, s) for q, (s, i) in best.items()], columns=["query", "neighbour", "similarity"])
+                            top[q] = mine
+            if top:
+                yield pd.DataFrame([(asked[q], i, s) for q, (s, i) in top.items()], columns=["query", "neighbour", "similarity"])
+
+        found = rows.where(F.col(vector).isNotNull()).select(ident, vector).mapInPandas(run, schema)
+        paths.append(tables.write(best(found))[1])
+        shared.destroy()
 
-        return rows.where(F.col(vector).isNotNull()).select(ident, vector).mapInPandas(run, f"query {kind}, neighbour {kind}, similarity double")
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b")).select("query", "b.neighbour", (-F.col("b.s")).alias("similarity"))
 
     for r in queries.where(F.col(vector).isNotNull()).select(ident, vector).toLocalIterator():
         held.append(r)
         if len(held) >= block:
-            parts.append(compare(held))
+            compare(held)
             held = []
     if held:
-        parts.append(compare(held))
-    if not parts:
-        return spark.createDataFrame([], f"query {kind}, neighbour {kind}, similarity double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b")).select("query", "b.neighbour", (-F.col("b.s")).alias("similarity"))
+        compare(held)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Rule scan of contract source, line by line, and features of bytecode.
 
 Source rules are array expressions over the lines of one text, so the scan is a projection without a shuffle. Contexts
-are the lines after or before a line. Bytecode is walked instruction by instruction in Arrow batches, as the length of
-each step depends on the one before.
+are the lines after or before a line. Operands in bytecode are swallowed by one pattern in Arrow batches, and what is
+left is counted.
 
 Defined cases: null and empty texts have no findings. Lines end with a line feed. Bytecode that isn't hexadecimal has
 length 0 and no features; an odd last digit is ignored; null counts as empty.
@@ -10,7 +10,9 @@ length 0 and no features; an odd last digit is ignored; null counts as empty.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,20 +84,19 @@ def scan(texts: DataFrame, ident: str, text: str) -> DataFrame:
     return texts.select(ident, findings(F.col(text)).alias("findings"), F.when(F.length(text) > 0, F.size(F.split(F.col(text), "\n", -1))).otherwise(0).alias("lines")).withColumn("risk", scan_risk(F.col("findings")))
 
 
-def _walk(code: str | None) -> tuple[np.ndarray, int]:
-    """Counts of the opcodes of a bytecode, operands skipped, and its length in bytes."""
-    counts = np.zeros(256, np.int32)
-    plain = (code or "").replace("0x", "").replace(" ", "")
+#: A push instruction, its opcode in a group, with as much of its operand as there is.
+_PUSH = re.compile(b"|".join(b"(%b)[\\s\\S]{0,%d}" % (re.escape(bytes([PUSH_FIRST + n])), n + 1) for n in range(PUSH_LAST - PUSH_FIRST + 1)))
+_OPCODE = b"".join(b"\\g<%d>" % (n + 1) for n in range(PUSH_LAST - PUSH_FIRST + 1))
+
+
+def _opcodes(code: str | None) -> tuple[np.ndarray, int]:
+    """Counts of the opcodes of a bytecode, operands left out, and its length in bytes."""
+    digits = re.sub("0x| ", "", code or "")
     try:
-        raw = bytes.fromhex(plain[: len(plain) // 2 * 2])
+        raw = bytes.fromhex(digits[: len(digits) & ~1])
     except ValueError:
-        return counts, 0
-    at = 0
-    while at < len(raw):
-        op = raw[at]
-        counts[op] += 1
-        at += 1 + (op - PUSH_FIRST + 1 if PUSH_FIRST <= op <= PUSH_LAST else 0)
-    return counts, len(raw)
+        raw = b""
+    return np.bincount(np.frombuffer(_PUSH.sub(_OPCODE, raw), np.uint8), minlength=256).astype(np.int32), len(raw)
 
 
 def opcode_counts(code: Column) -> Column:
@@ -103,25 +104,49 @@ def opcode_counts(code: Column) -> Column:
 
     @F.pandas_udf("struct<counts: array<int>, bytes: int>")
     def walk(codes: pd.Series) -> pd.DataFrame:
-        known = {c: _walk(c) for c in codes.unique()}
+        known = {c: _opcodes(c) for c in codes.unique()}
         return pd.DataFrame({"counts": [known[c][0] for c in codes], "bytes": [known[c][1] for c in codes]})
 
     return walk(code)
 
 
-def bytecode_features(codes: DataFrame, ident: str, code: str) -> DataFrame:
-    """(ident, bytes, frequencies and flags, risk, factors, vector of 263) of each bytecode."""
-    walked = codes.select(ident, opcode_counts(F.col(code)).alias("w")).select(ident, "w.*")
-    total = F.greatest("bytes", F.lit(1))
+def _figures() -> dict[str, Column]:
+    """Frequencies and flags from ``counts`` and ``bytes``."""
     count = lambda op: F.element_at("counts", op + 1)
-    flat = walked.select(
-        ident, "bytes", "counts",
-        (count(CALL) / total).alias("call_frequency"), (count(SSTORE) / total).alias("sstore_frequency"), (count(SLOAD) / total).alias("sload_frequency"),
-        (count(SELFDESTRUCT) > 0).alias("selfdestruct"), (count(TIMESTAMP_OP) > 0).alias("timestamp"), (count(DELEGATECALL) > 0).alias("delegatecall"),
-    )
-    signs = [("selfdestruct", F.col("selfdestruct"), 0.30), ("delegatecall", F.col("delegatecall"), 0.25), ("call_frequency", F.col("call_frequency") > 0.02, 0.20), ("timestamp", F.col("timestamp"), 0.10), ("sstore_frequency", F.col("sstore_frequency") > 0.05, 0.10), ("size", F.col("bytes") > 20000, 0.05)]
-    risk = sum((F.when(holds, weight).otherwise(0.0) for _, holds, weight in signs[1:]), F.when(signs[0][1], signs[0][2]).otherwise(0.0))
+    total = F.greatest("bytes", F.lit(1))
+    frequencies = {"call_frequency": count(CALL) / total, "sstore_frequency": count(SSTORE) / total, "sload_frequency": count(SLOAD) / total}
+    return frequencies | {"selfdestruct": count(SELFDESTRUCT) > 0, "timestamp": count(TIMESTAMP_OP) > 0, "delegatecall": count(DELEGATECALL) > 0}
+
+
+def _signs() -> tuple[Column, Column]:
+    """The risk of a bytecode and the names of the signs that make it up."""
+    f = _figures()
+    # Weights and limits of the signs.
+    signs = [("selfdestruct", f["selfdestruct"], 0.30), ("delegatecall", f["delegatecall"], 0.25), ("call_frequency", f["call_frequency"] > 0.02, 0.20), ("timestamp", f["timestamp"], 0.10), ("sstore_frequency", f["sstore_frequency"] > 0.05, 0.10), ("size", F.col("bytes") > 20000, 0.05)]
+    risk = reduce(lambda a, b: a + b, (F.when(holds, weight).otherwise(0.0) for _, holds, weight in signs))
     factors = F.filter(F.array(*(F.when(holds, F.lit(name)) for name, holds, _ in signs)), lambda x: x.isNotNull())
-    extras = [F.col(c).cast("double") for c in ("call_frequency", "sstore_frequency", "sload_frequency", "selfdestruct", "timestamp", "delegatecall", "bytes")]
+    return F.round(F.least(F.lit(1.0), risk), 4), factors
+
+
+def bytecode_features(codes: DataFrame, ident: str, code: str) -> DataFrame:
+    """(ident, bytes, frequencies and flags, risk, factors, vector of 263) of each bytecode."""
+    flat = codes.select(ident, opcode_counts(F.col(code)).alias("w")).select(ident, "w.*")
+    risk, factors = _signs()
+    named = _figures()
+    order = ["call_frequency", "sstore_frequency", "sload_frequency", "selfdestruct", "timestamp", "delegatecall"]
+    extras = [named[c].cast("double") for c in order] + [F.col("bytes").cast("double")]
     vector = F.concat(F.transform("counts", lambda c: c / F.greatest(F.col("bytes"), F.lit(1))), F.array(*extras))
-    return flat.select(ident, "bytes", "call_frequency", "sstore_frequency", "sload_frequency", "selfdestruct", "timestamp", "delegatecall", F.round(F.least(F.lit(1.0), risk), 4).alias("risk"), factors.alias("factors"), vector.alias("vector"))
+    return flat.select(ident, "bytes", *(named[c].alias(c) for c in order), risk.alias("risk"), factors.alias("factors"), vector.alias("vector"))
+
+
+def scan_contracts(contracts: DataFrame, ident: str, source: str, code: str) -> DataFrame:
+    """(ident, source_risk, bytecode_risk, combined_risk): the larger of the risks of what there is, 0 without either.
+
+    A null or empty source or bytecode is none. The rows of one identifier are one contract and should be one row.
+    """
+    here = contracts.select(F.col(ident), F.col(source).alias("__source"), F.col(code).alias("__code"))
+    one = here.withColumn("__findings", findings(F.col("__source"))).withColumn("source_risk", F.when(F.length("__source") > 0, scan_risk(F.col("__findings"))))
+    two = one.withColumn("__w", opcode_counts(F.col("__code"))).select(ident, "source_risk", F.length("__code").alias("__length"), "__w.*")
+    risk, _ = _signs()
+    both = two.withColumn("bytecode_risk", F.when(F.col("__length") > 0, risk))
+    return both.select(ident, "source_risk", "bytecode_risk", F.coalesce(F.greatest("source_risk", "bytecode_risk"), F.lit(0.0)).alias("combined_risk"))

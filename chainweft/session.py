@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
+import logging
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: The setting that names the folder all executors share.
@@ -29,31 +30,54 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: the session's own setting, else one made for this process.
+    """The folder for written tables: the session's own setting, or one made for this process in local mode.
 
-    The fallback is only for sessions without the setting, as in tests; on a cluster the setting names storage that
-    every executor reaches.
+    On a cluster the setting must name storage that every executor reaches; without it this raises.
     """
     own = spark.conf.get(SHARED_DIR, None)
     if not own:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{SHARED_DIR} must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="chainweft-")
         spark.conf.set(SHARED_DIR, own)
     return own.rstrip("/")
 
 
+#: Folders of tables that were written and not yet deleted.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes all tables that queries of a session (or any) have written; call it once their results have been read."""
+    for root, owner in list(_ROOTS.items()):
+        if spark is None or owner is spark:
+            del _ROOTS[root]
+            try:
+                _delete(owner, root)
+            except (Py4JError, OSError) as error:  # the JVM may have ended before
+                logging.getLogger(__name__).info("%s was not deleted: %s", root, error)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+atexit.register(release)
+
+
 class WrittenTables:
-    """Tables written to shared storage to cut lineage; unlike cached blocks they outlive a lost executor."""
+    """Tables written to shared storage to cut lineage; unlike cached blocks they outlive a lost executor.
+
+    They last until ``release`` or the end of the process, as results that read them are evaluated later.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
-        atexit.register(self._clear)
-
-    def _clear(self) -> None:
-        """Deletes all of these tables as the process ends, if the session is still there."""
-        with contextlib.suppress(Exception):
-            self.drop(self.root)
+        _ROOTS[self.root] = spark
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Writes ``df`` and returns it as read back, with its path."""
@@ -64,6 +88,4 @@ class WrittenTables:
 
     def drop(self, path: str) -> None:
         """Deletes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(self.spark, path)

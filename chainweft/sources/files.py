@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,7 +80,8 @@ def merged_lists(*lists: DataFrame) -> DataFrame:
 def sampled(rows: DataFrame, ident: str, rates: dict[str, float], seed: int = 0) -> DataFrame:
     """A repeatable Bernoulli sample by chain: the identifier's seeded hash decides."""
     rate = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), chain(F.col("chain_name"))), F.lit(1.0))
-    return rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000)
+    place = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string")), 256), 1, 8), 16, 10).cast("double")
+    return rows.where(place < rate * 2.0**32)
 
 
 def by_chain(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -88,7 +89,36 @@ def by_chain(rows: DataFrame, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.where(chain(F.col("chain_name")) == n) for n in names])
 
 
+def quantity(c: Column) -> Column:
+    """A hexadecimal quantity with ``0x`` as decimal(38,0); null where it isn't one or has more than 38 digits."""
+    digits = F.regexp_extract(c, "^0[xX]0*([0-9a-fA-F]+)$", 1)
+    padded = F.lpad(digits, 32, "0")
+    total = F.lit(0).cast("decimal(38,0)")
+    for k in range(4):  # 32 bits each, as ``conv`` counts to 64
+        piece = F.conv(F.substring(padded, 8 * k + 1, 8), 16, 10).cast("decimal(10,0)")
+        shifted = F.try_multiply(total, F.lit(1 << 32).cast("decimal(10,0)")) if k else total
+        total = F.try_add(shifted.cast("decimal(38,0)"), piece).cast("decimal(38,0)")
+    return F.when(F.length(digits).between(1, 32), total)
+
+
 def raw_transaction(rows: DataFrame) -> DataFrame:
     """Decodes hexadecimal quantities and ISO times of node responses (hash, from, to, value, gas, time)."""
-    quantity = lambda c: F.conv(F.expr(f"substring({c}, 3)"), 16, 10).cast("decimal(38,0)")
-    return rows.select("hash", "from", "to", quantity("value").alias("value_wei"), quantity("gas").cast("long").alias("gas"), F.unix_timestamp(F.to_timestamp("time")).alias("block_timestamp"))
+    return rows.select("hash", "from", "to", quantity(F.col("value")).alias("value_wei"), quantity(F.col("gas")).cast("long").alias("gas"), F.unix_timestamp(F.to_timestamp("time")).alias("block_timestamp"))
+
+
+def save_processed(rows: DataFrame, folder: str, ident: str, columns: list[str], label: str, split: str) -> None:
+    """Writes feature arrays with labels, by split, and beside them the names of the features and counts of rows."""
+    kept = rows.select(F.col(ident).alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("features"), F.col(label).alias("label"), F.col(split).alias("split"))
+    kept.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/rows")
+    kept.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.lit(columns).alias("names")).coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
+
+
+def save_baseline(scores: DataFrame, score: str, path: str) -> None:
+    """Writes the counts of scores rounded to six places, from which any histogram of them can be made."""
+    known = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    known.groupBy(F.round(score, 6).alias("score")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(score, n) as saved; empty if there is none."""
+    return spark.read.schema("score double, n long").json(path) if _exists(spark, path) else spark.createDataFrame([], "score double, n long")

@@ -52,6 +52,12 @@ def write_kafka(messages: DataFrame, servers: str) -> None:
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("kafka.linger.ms", "10").save()
 
 
+def alert_messages(alerts: DataFrame, severity: str, key: str, payload: list[str]) -> DataFrame:
+    """(topic, key, value) of alerts: critical ones have their own topic, all others go to the one for high ones."""
+    rank = F.when(F.lower(severity) == "critical", "critical").otherwise("high")
+    return alerts.select(F.concat(F.lit("alerts."), rank).alias("topic"), F.col(key).alias("key"), F.to_json(F.struct(*payload)).alias("value"))
+
+
 def deliver(batch: DataFrame, sink: Callable[[DataFrame], None], dead_letters: str, most: int = 10_000) -> bool:
     """Sends a batch; if that fails, keeps its messages as dead letters, the newest ``most`` of them all.
 
@@ -61,41 +67,59 @@ def deliver(batch: DataFrame, sink: Callable[[DataFrame], None], dead_letters: s
         sink(batch)
         return True
     except Exception:  # noqa: BLE001 - whatever the sink raises, messages must be kept
-        spark = batch.sparkSession
-        old = _letters(spark, dead_letters)
-        every = batch.select("seq", "topic", "key", "value") if old is None else old.unionByName(batch.select("seq", "topic", "key", "value"))
+        mine = batch.select("seq", "topic", "key", "value")
+        old = letters(batch.sparkSession, dead_letters)
+        every = mine if old is None else old.unionByName(mine)
         _replace(every.orderBy(F.desc("seq")).limit(most), dead_letters)
         return False
 
 
-def _letters(spark: SparkSession, folder: str) -> DataFrame | None:
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions of a table that were written to the end, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(folder) if fs.exists(path) else None
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and done(n))
+
+
+def letters(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The dead letters kept in a folder; None if there never were any."""
+    versions = _versions(spark, folder)
+    return spark.read.parquet(f"{folder}/{versions[-1]}") if versions else None
 
 
 def _replace(rows: DataFrame, folder: str) -> None:
+    """Writes the next version; it counts once it is complete, and only then do older ones go, so a crash loses nothing."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{folder}.new")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(folder), True)
-    fs.rename(hadoop(f"{folder}.new"), hadoop(folder))
-
-
-def replay(spark: SparkSession, sink: Callable[[DataFrame], None], dead_letters: str) -> int:
-    """Sends the dead letters again, oldest first, and drops those taken; returns how many were."""
-    letters = _letters(spark, dead_letters)
-    if letters is None:
-        return 0
-    rows = letters.orderBy("seq")
-    try:
-        sink(rows)
-    except Exception:  # noqa: BLE001
-        return 0
-    many = rows.count()
-    _replace(letters.limit(0), dead_letters)
-    return many
+    old = _versions(spark, folder)
+    rows.write.mode("overwrite").parquet(f"{folder}/{old[-1] + 1 if old else 0}")
+    for version in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replay(spark: SparkSession, sink: Callable[[DataFrame], None], dead_letters: str, step: int = 1000) -> int:
+    """Sends the dead letters again, oldest first in steps, up to the first step that fails; returns how many were taken.
+
+    Those taken are dropped after each step, so a crash repeats one step at most.
+    """
+    taken = 0
+    while (rest := letters(spark, dead_letters)) is not None:
+        batch = rest.orderBy("seq").limit(step)
+        many = batch.count()
+        if not many:
+            break
+        try:
+            sink(batch)
+        except Exception:  # noqa: BLE001 - what the sink didn't take stays
+            break
+        taken += many
+        last = batch.agg(F.max("seq")).first()[0]
+        _replace(rest.where(F.col("seq") > last), dead_letters)
+    return taken
 
 
 def newest(rows: DataFrame, group: list[str], order: str, most: int) -> DataFrame:

@@ -1,66 +1,107 @@
 """Structured Streaming forms: velocity on arrival, distinct messages, windows, latest state, score drift, rate limits.
 
-State is kept by key in the state store and bounded by time: a sender's window, an identifier's watermark, a key's
-accepted calls. Each has a batch twin that it equals when all rows have arrived.
+State is kept by key in the state store and let go by a timeout: a sender's window and a key's accepted calls by event
+time, an identifier by its watermark, the last scores of a key by the time it is idle; the latest state of a key is the
+one that stays. Each has a batch twin that it equals when all rows have arrived and none came later than its delay;
+rows that come later than that are dropped where event time lets state go.
 
 Defined cases: rows without key are left out; rows within a micro-batch are put in order of arrival by key first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chainweft.functions.identity import hex_text
 from chainweft.operators.velocity import ArrivalHistory
 from chainweft.session import WrittenTables
+from chainweft.sources.messages import from_messages
 
 
-def stream_of(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
-    """A table's files as a stream; ``files`` in each micro-batch."""
-    path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    # a single file is streamed by its folder and name, a folder of parts by its files
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path if not _is_file(spark, path) else folder + f"/{name}.parque[t]")
+def stream_of(spark: SparkSession, folder: str, name: str, order: str, parts: int = 3, files: int = 1) -> DataFrame:
+    """A table's files as a stream; ``files`` in each micro-batch.
 
+    A folder of at least ``parts`` files, whose order is that of their times, is streamed as it is. A smaller table is
+    first cut into ``parts`` files by ``order``, so that it takes several micro-batches.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    if len(table._jdf.inputFiles()) < parts:
+        path = f"{WrittenTables(spark, 'parts').root}/{name}"
+        low, high = table.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+        place = F.coalesce(F.least(F.lit(parts - 1), F.floor((F.col(order).cast("double") - (low or 0.0)) / max((high or 0.0) - (low or 0.0), 1e-9) * parts)), F.lit(0))
+        for k in range(parts):  # one after the other, so that their times are in order
+            table.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path)
 
-def _is_file(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
 
+def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a query over what is there now, batch by batch into written tables, and returns its result table.
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a query over what is there now, into a written table, and returns that."""
+    In ``complete`` mode that is the last batch's output, in ``update`` mode the latest row of each of ``keys``, in
+    ``append`` mode the rows of all batches.
+    """
     spark = stream.sparkSession
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
     tables = WrittenTables(spark, "stream")
     out = f"{tables.root}/out"
-    schema = stream.schema
+    written: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        written.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{tables.root}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+    batches = sorted(set(written))
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    read = lambda n: spark.read.schema(stream.schema).parquet(f"{out}/{n}")
+    if mode == "complete":
+        return read(batches[-1])
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(*(f"{out}/{n}" for n in batches))
+    every = reduce(DataFrame.unionByName, (read(n).withColumn("__batch", F.lit(n)) for n in batches))
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "__batch").alias("__row"))
+    return newest.select("__row.*")
+
 
+def _expire(state: GroupState, at_s: float) -> None:
+    """Lets state go once the watermark passes a time."""
+    state.setTimeoutTimestamp(max(int(at_s * 1000), state.getCurrentWatermarkMs() + 1))
 
-def velocity(stream: DataFrame, window_s: int = 3600) -> DataFrame:
-    """(seq, tx_count, value_sum, since_last) for rows (seq, sender, block_timestamp, value_eth), as known on arrival."""
+
+def velocity(stream: DataFrame, window_s: int = 3600, delay: str = "30 days") -> DataFrame:
+    """(seq, tx_count, value_sum, since_last) for rows (seq, sender, block_timestamp, value_eth), as known on arrival.
+
+    A sender's state goes when the watermark, ``delay`` behind the latest time, has passed its latest row by the window:
+    no row that isn't later than that could see it.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = state.get if state.exists else ([], [])
-        history = ArrivalHistory(window_s, list(zip(times, values)))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        history = ArrivalHistory(window_s, *(state.get if state.exists else ([], [])))
         rows = pd.concat(frames).sort_values("seq")
         out = [(r.seq, *history.add(float(r.block_timestamp), float(r.value_eth or 0.0))) for r in rows.itertuples()]
-        state.update(([t for t, _ in history.held], [v for _, v in history.held]))
+        times, values = history.held()
+        state.update((times, values))
+        _expire(state, times[-1] + window_s)
         yield pd.DataFrame(out, columns=["seq", "tx_count", "value_sum", "since_last"])
 
-    known = stream.where((F.length("sender") > 0) & F.col("block_timestamp").isNotNull()).select("seq", "sender", "block_timestamp", "value_eth")
-    return known.groupBy("sender").applyInPandasWithState(step, "seq long, tx_count long, value_sum double, since_last double", "times array<double>, vals array<double>", "append", GroupStateTimeout.NoTimeout)
+    known = stream.where((F.length("sender") > 0) & F.col("block_timestamp").isNotNull()).select("seq", "sender", "block_timestamp", "value_eth", F.timestamp_seconds("block_timestamp").alias("at"))
+    timed = known.withWatermark("at", delay)
+    return timed.groupBy("sender").applyInPandasWithState(step, "seq long, tx_count long, value_sum double, since_last double", "times array<double>, vals array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distinct_messages(stream: DataFrame, id_col: str, time_col: str, delay: str = "7 days") -> DataFrame:
@@ -86,24 +127,74 @@ def latest_state(stream: DataFrame, key: str, order: str, value: str) -> DataFra
     return stream.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value), (F.count(F.lit(1)) - 1).alias("updates"))
 
 
-def last_scores(stream: DataFrame, key: str, order: str, score: str, most: int = 500) -> DataFrame:
-    """(key, n, scores): the newest scores of each key as of each micro-batch."""
+def last_scores(stream: DataFrame, key: str, order: str, score: str, time: str, most: int = 500, idle_s: int = 30 * 86400, delay: str = "1 day") -> DataFrame:
+    """(key, upto, scores): the newest scores of each key as of each micro-batch; run it in ``update`` mode.
+
+    ``time`` is a timestamp; a key without a row for ``idle_s`` seconds of the watermark, ``delay`` behind, begins anew.
+    """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(zip(*state.get)) if state.exists else []
-        new = [(r[0], r[1]) for f in frames for r in f[[order, score]].itertuples(index=False)]
-        held = sorted(held + new)[-most:]
+        rows = pd.concat(frames)
+        held = sorted(held + list(rows[["o", "x"]].itertuples(index=False, name=None)))[-most:]
         state.update(([o for o, _ in held], [s for _, s in held]))
+        _expire(state, rows["at"].max().timestamp() + idle_s)
         yield pd.DataFrame([(name[0], held[-1][0], [s for _, s in held])], columns=[key, "upto", "scores"])
 
-    known = stream.where(F.col(key).isNotNull() & F.col(score).isNotNull()).select(key, F.col(order).cast("long").alias(order), F.col(score).cast("double").alias(score))
-    return known.groupBy(key).applyInPandasWithState(step, f"{key} string, upto long, scores array<double>", "orders array<long>, scores array<double>", "update", GroupStateTimeout.NoTimeout)
+    known = _scores(stream, key, order, score, time).withWatermark("at", delay)
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} string, upto long, scores array<double>", "orders array<long>, scores array<double>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _scores(stream: DataFrame, key: str, order: str, score: str, time: str) -> DataFrame:
+    known = stream.where(F.col(key).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & F.col(time).isNotNull())
+    return known.select(key, F.col(order).cast("long").alias("o"), F.col(score).cast("double").alias("x"), F.col(time).cast("timestamp").alias("at"))
+
+
+def score_drift(stream: DataFrame, key: str, order: str, score: str, time: str, baseline: list[float], most: int = 500, least: int = 100, every: int = 50, idle_s: int = 30 * 86400, delay: str = "1 day") -> DataFrame:
+    """(key, upto, n, psi): the stability index of the newest ``most`` scores after every ``every``-th score of a key.
+
+    None before ``least`` scores were seen. ``baseline`` holds the shares of ten equal bins of [0, 1]; the last bin is
+    closed, scores outside count nowhere, and no share counts less than a millionth. Keys begin anew as in ``last_scores``.
+    """
+    shares = [max(b, 1e-6) for b in baseline]
+
+    def psi(scores: list[float]) -> float:
+        counts = np.histogram(scores, bins=10, range=(0.0, 1.0))[0] / len(scores)
+        return float(sum((max(x, 1e-6) - b) * np.log(max(x, 1e-6) / b) for x, b in zip(counts, shares)))
 
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        out = []
+        rows = pd.concat(frames)
+        for o, x in rows[["o", "x"]].sort_values("o").itertuples(index=False):
+            seen += 1
+            held = [*held[-(most - 1) :], float(x)]
+            if seen % every == 0 and len(held) >= least:
+                out.append((name[0], o, len(held), psi(held)))
+        state.update((seen, held))
+        _expire(state, rows["at"].max().timestamp() + idle_s)
+        yield pd.DataFrame(out, columns=[key, "upto", "n", "psi"])
+
+    known = _scores(stream, key, order, score, time).withWatermark("at", delay)
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} string, upto long, n int, psi double", "seen long, scores array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
-def rate_limited(stream: DataFrame, key: str, time: str, order: str, limit: int, window_s: int) -> DataFrame:
-    """(order, allowed): a call passes if fewer than ``limit`` calls of its key passed within the window before it."""
+
+def rate_limited(stream: DataFrame, key: str, time: str, order: str, limit: int, window_s: int, delay: str = "1 day") -> DataFrame:
+    """(order, allowed): a call passes if fewer than ``limit`` calls of its key passed within the window before it.
+
+    A key's state goes when the watermark, ``delay`` behind the latest call, has passed its last call by the window.
+    """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         passed = list(state.get[0]) if state.exists else []
         out = []
         for r in pd.concat(frames).sort_values("o").itertuples():
@@ -112,7 +203,28 @@ def rate_limited(stream: DataFrame, key: str, time: str, order: str, limit: int,
             if len(passed) < limit:
                 passed.append(r.t)
         state.update((passed,))
+        _expire(state, (max(passed) if passed else 0.0) + window_s)
         yield pd.DataFrame(out, columns=["o", "allowed"])
 
-    known = stream.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.col(order).cast("long").alias("o"))
-    return known.groupBy("k").applyInPandasWithState(step, "o long, allowed boolean", "passed array<double>", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("o", order)
+    known = stream.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.col(order).cast("long").alias("o"), F.timestamp_millis((F.col(time).cast("double") * 1000).cast("long")).alias("at"))
+    return known.withWatermark("at", delay).groupBy("k").applyInPandasWithState(step, "o long, allowed boolean", "passed array<double>", "append", GroupStateTimeout.EventTimeTimeout).withColumnRenamed("o", order)
+
+
+def consume(messages: DataFrame, handle: Callable[[DataFrame], None], corrupt: Callable[[DataFrame], None], checkpoint: str, value: str = "value") -> StreamingQuery:
+    """Hands parsed messages to a handler batch by batch, at least once, and unreadable ones to ``corrupt``.
+
+    A batch is committed to the checkpoint only after both have returned, so a failing handler gets it again.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        good, bad = from_messages(batch, value)
+        corrupt(bad)
+        handle(good)
+
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+
+
+def from_kafka(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
+    """The messages of topics (key, value) from the earliest on; needs the connector, which isn't part of Spark itself."""
+    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
+    return stream.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

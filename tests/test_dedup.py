@@ -59,3 +59,17 @@ def test_empty_tables_and_hot_identifier(spark):
 def test_null_order_comes_last(spark):
     df = spark.createDataFrame([("ab" * 32, None), ("ab" * 32, 4)], "tx_hash string, seq long")
     assert [r[0] for r in repeated_messages(df, "tx_hash", "seq").collect()] == [None]
+
+
+def test_identifiers_of_any_width(spark):
+    import hashlib
+
+    digest = hashlib.sha256(b"text:plain").hexdigest()
+    names = ["plain", " PLAIN ", "0xplain", "550e8400-e29b-41d4-a716-446655440000", "550E8400-E29B-41D4-A716-446655440000", "z" * 5000]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names * 2)], "id string, k long").repartition(3)
+    assert sorted(r[0] for r in first_messages(df, "id", "k", ["k"]).collect()) == [0, 3, 5]
+    clash = spark.createDataFrame([("plain", 1), (digest, 2)], "id string, k long").coalesce(1)
+    try:
+        assert first_messages(clash, "id", "k", ["k"]).count() == 2
+    except Exception as error:
+        assert "same digest" in str(error)

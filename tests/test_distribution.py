@@ -97,3 +97,11 @@ def test_decay_and_caps(spark):
     assert tuple(out) == (4.0, 8.0)
     assert sorted(r.k for r in scoring.kept(df, F.col("safe"), F.col("v"), "k", 5).collect()) == [0, 1, 2, 6, 13]
     assert sorted(r.k for r in scoring.kept(df, F.col("safe"), F.col("v"), "k", 2).collect()) == [0, 1, 2]
+
+
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, v double")
+    stats = {r.g: (r.n, r.p50, r.max) for r in distribution.value_statistics(df, ["g"], "v", {"p50": 0.5}).collect()}
+    assert stats == {"a": (2, 2.0, 3.0), None: (2, 6.0, 7.0)}
+    assert {tuple(r) for r in distribution.cumulative_share(df, ["g"], "v").collect()} == {("a", 1.0, 0.5), ("a", 3.0, 1.0), (None, 5.0, 0.5), (None, 7.0, 1.0)}
+    assert {tuple(r) for r in distribution.histogram(df, ["g"], "v", 0.0, 8.0, 2).collect()} == {("a", 0, 2), ("a", 1, 0), (None, 0, 0), (None, 1, 2)}

@@ -88,3 +88,48 @@ def test_chains(spark):
 def test_empty(spark):
     none = graph.edges(tx(spark, []).limit(0))
     assert graph.ancestors(none, start(spark, "A"), 2).count() == graph.degrees(none).count() == graph.edge_index(none).count() == graph.label_communities(none).count() == 0
+
+
+def test_first_paths_equal_all_paths_cut(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(40)}
+    some = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "src string, dst string")
+    every = {}
+    for r in graph.simple_paths(some, start(spark, "n0", "n1"), 4).collect():
+        every.setdefault(r.start, []).append((r.hops, tuple(r.path)))
+    for most in (1, 7, 40):
+        got = {}
+        for r in graph.simple_paths(some, start(spark, "n0", "n1"), 4, most).collect():
+            got.setdefault(r.start, []).append((r.hops, tuple(r.path)))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:most] for k, v in every.items()}
+
+
+def test_communities_are_settled(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(6) for j in range(6) if i < j and rng.random() < 0.8] + [("a0", "b0"), ("b1", "c1"), ("x", "y"), ("y", "z"), ("z", "x2"), ("x2", "x")]
+    label = {r.address: r.community for r in graph.label_communities(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(label[b]), near.setdefault(b, []).append(label[a])
+    assert all(max(map(own.count, own)) <= own.count(label[a]) for a, own in near.items())
+
+
+def test_layers(spark):
+    wide = spark.createDataFrame([(f"s{k}", "hub") for k in range(30)] + [(f"t{k}{j}", f"s{k}") for k in range(30) for j in range(4)], "src string, dst string")
+    out = graph.sampled_layers(wide, start(spark, "hub"), [5, 2]).collect()
+    first = {r.src for r in out if r.layer == 0}
+    assert len(first) == 5 and {r.dst for r in out if r.layer == 1} == first and sum(r.layer for r in out) == 10
+
+
+def test_flags_as_rows_arrive(spark):
+    rows = spark.createDataFrame([(1, "x", "A", "B"), (2, "y", "A", "BR"), (3, "x", "BR", "C"), (4, "x", "D", "AS"), (5, "y", None, "AS"), (6, "x", "BR", "BR")], "seq long, chain string, sender string, recipient string")
+    registry = spark.createDataFrame([("br", "gate", None), ("as", None, "coin")], "address string, bridge string, asset string")
+    rows = rows.selectExpr("seq", "chain", "lower(sender) AS sender", "lower(recipient) AS recipient")
+    got = {r.seq: (r.bridge, r.actor, r.asset, r.chains) for r in crosschain.observed(rows, registry).collect()}
+    assert got == {1: (None, None, None, None), 2: ("gate", "a", None, "x,y"), 3: ("gate", "c", None, "x,y"), 4: (None, None, "coin", None), 5: (None, None, None, None), 6: ("gate", "br", None, "x,y")}
+    assert {tuple(r) for r in crosschain.actor_summary(crosschain.observed(rows, registry)).collect()} == {("a", 1, "gate", 0), ("c", 1, "gate", 0), ("br", 1, "gate", 0), ("d", 0, "", 1)}
+    assert crosschain.chain_summary(rows, registry).first().asDict() == {"wallets": 6, "multi_chain": 3, "bridge_wallets": 3, "bridge_hits": 3, "asset_hits": 1, "known_bridges": 1, "known_assets": 1}

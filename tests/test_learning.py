@@ -27,8 +27,9 @@ def test_isolation_forest_sets_outliers_apart(rows):
 
 
 def test_logistic_model_on_held_out_rows(rows):
-    split = learning.stratified_split(rows, "id", 0.25)
-    assert 0.15 < split.where("split = 'test'").count() / 550 < 0.35
+    split = learning.stratified_split(rows, "id", "y", 0.25)
+    assert {r.y: r["count"] for r in split.where("split = 'test'").groupBy("y").count().collect()} == {0.0: 125, 1.0: 13}
+    assert split.count() == 550 and split.exceptAll(learning.stratified_split(rows.repartition(3), "id", "y", 0.25)).count() == 0
     model = learning.logistic_model(split.where("split = 'train'"), COLUMNS, "y")
     out = learning.predicted(model, split.where("split = 'test'"), COLUMNS)
     assert auc(out, "probability") > 0.97
@@ -78,3 +79,27 @@ def test_nearest_equals_brute_force(spark, block):
         assert n == int(np.flatnonzero(near == near.max())[0]) and s == pytest.approx(near.max())
     assert len(got) == 14
     assert learning.nearest(df, df.limit(0), "id", "v").count() == 0
+
+
+def test_scaling_fits_on_training_rows_and_skips_empty_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, "train"), (None, 3.0, "train"), (None, 9.0, "test")], "a double, b double, s string")
+    out = learning.standardised(df, ["a", "b"], df.where("s = 'train'"))
+    assert [(r.a, r.b) for r in out.orderBy("b").collect()] == [(0.0, -1.0), (0.0, 1.0), (0.0, 7.0)]
+
+
+def test_split_of_small_and_null_classes(spark):
+    df = spark.createDataFrame([(str(k), None if k % 4 == 0 else float(k % 2)) for k in range(40)] + [("z", 7.0)], "id string, y double")
+    got = {(r.y, r.split): r["count"] for r in learning.stratified_split(df, "id", "y", 0.3).groupBy("y", "split").count().collect()}
+    assert got == {(None, "test"): 3, (None, "train"): 7, (0.0, "test"): 3, (0.0, "train"): 7, (1.0, "test"): 6, (1.0, "train"): 14, (7.0, "train"): 1}
+    assert learning.stratified_split(df.limit(0), "id", "y", 0.3).count() == 0
+
+
+def test_folds_outliers_and_error_thresholds(rows):
+    out = learning.cross_validated(rows, "id", COLUMNS, "y", 3).collect()
+    assert sum(r.rows for r in out) == 550 and all(r.f1 > 0.8 for r in out)
+    flagged = learning.flagged_outliers(learning.isolation_scores(rows, "id", COLUMNS, trees=50), "score", 0.05)
+    assert 20 <= flagged.where("outlier").count() <= 28 and flagged.agg(F.min("scaled"), F.max("scaled")).first() == (0.0, 1.0)
+    scored = learning.reconstruction_error(rows.where("y = 0"), rows, COLUMNS, 2)
+    r = learning.error_threshold(scored, "error", F.col("y") == 0.0).first()
+    errors = np.array([x.error for x in scored.where("y = 0").collect()])
+    assert r.threshold == pytest.approx(np.percentile(errors, 95)) and 0 < r.scaled < 1

@@ -54,3 +54,22 @@ def test_bytecode(spark):
     assert (out["long"].risk, list(out["long"].factors)) == (0.05, ["size"])
     assert all(len(r.vector) == 263 for r in out.values())
     assert np.isclose(out["kill"].vector[0x60], 3 / 7)
+
+
+def test_opcodes_equal_a_walk():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        raw = rng.integers(0, 256, rng.integers(0, 90)).astype(np.uint8).tobytes()
+        want, at = np.zeros(256, int), 0
+        while at < len(raw):
+            want[raw[at]] += 1
+            at += 1 + max(0, raw[at] - 0x5F if 0x60 <= raw[at] <= 0x7F else 0)
+        counts, size = scanner._opcodes("0x" + raw.hex())
+        assert counts.tolist() == want.tolist() and size == len(raw)
+
+
+def test_combined_risk(spark):
+    df = spark.createDataFrame([("both", SOURCES["timestamp"], "0xff"), ("source", SOURCES["bare_destroy"], None), ("code", "", "ff"), ("none", None, "")], "id string, src string, code string")
+    got = {r.id: (r.source_risk, r.bytecode_risk, r.combined_risk) for r in scanner.scan_contracts(df, "id", "src", "code").collect()}
+    assert got["both"] == (pytest.approx(0.4625), 0.3, pytest.approx(0.4625)) and got["source"][1:] == (None, got["source"][0])
+    assert got["code"] == (None, 0.3, 0.3) and got["none"] == (None, None, 0.0)

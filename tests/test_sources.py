@@ -28,10 +28,21 @@ def test_dead_letters_are_kept_and_replayed(spark, tmp_path):
     for k in range(3):
         batch = spark.createDataFrame([(10 * k + i, "t", "k", f"m{i}") for i in range(4)], "seq long, topic string, key string, value string")
         assert not messages.deliver(batch, down, letters, most=6)
-    assert sorted(r.seq for r in spark.read.parquet(letters).collect()) == [12, 13, 20, 21, 22, 23]
+    kept = lambda: messages.letters(spark, letters)
+    assert sorted(r.seq for r in kept().collect()) == [12, 13, 20, 21, 22, 23]
     assert messages.replay(spark, down, letters) == 0
-    assert messages.replay(spark, lambda b: messages.write_topics(b, out), letters) == 6
-    assert spark.read.json(out).count() == 6 and spark.read.parquet(letters).count() == 0
+    took = []
+
+    def flaky(batch):
+        if len(took) == 2:
+            raise ConnectionError
+        took.append([r.seq for r in batch.collect()])
+
+    assert messages.replay(spark, flaky, letters, step=2) == 4 and took == [[12, 13], [20, 21]]
+    assert sorted(r.seq for r in kept().collect()) == [22, 23]
+    (tmp_path / "letters" / "99").mkdir()  # a version that was begun before a crash
+    assert messages.replay(spark, lambda b: messages.write_topics(b, out), letters) == 2
+    assert spark.read.json(out).count() == 2 and kept().count() == 0
     assert messages.deliver(batch, lambda b: messages.write_topics(b, out), letters)
     assert messages.replay(spark, down, str(tmp_path / "none")) == 0
 
@@ -65,4 +76,32 @@ def test_samples_and_chains(spark):
 def test_node_responses(spark):
     df = spark.createDataFrame([("0x1", "0xa", "0xb", "0x1bc16d674ec80000", "0x5208", "2025-03-01T00:00:00Z")], "hash string, `from` string, `to` string, value string, gas string, time string")
     r = files.raw_transaction(df).first()
+    odd = {"0x56bc75e2d63100000": 100 * 10**18, "0x" + "0" * 40 + "f": 15, hex(10**38 - 1): 10**38 - 1, hex(10**38): None, "0x" + "f" * 40: None, "0x": None, "zz": None, None: None, "0x0": 0}
+    got = {x.q: x.v for x in spark.createDataFrame([(q,) for q in odd], "q string").select("q", files.quantity(F.col("q")).alias("v")).collect()}
+    assert got == odd
     assert (r.value_wei, r.gas, r.block_timestamp) == (2 * 10**18, 21000, 1740787200)
+
+
+def test_processed_rows_baseline_and_alert_topics(spark, tmp_path):
+    df = spark.createDataFrame([(k, k / 10, float(k % 2), "train" if k < 7 else "test") for k in range(10)], "id long, x double, y double, split string")
+    files.save_processed(df, str(tmp_path / "p"), "id", ["x", "y"], "y", "split")
+    assert {(r.split, r["count"]) for r in spark.read.parquet(str(tmp_path / "p" / "rows")).groupBy("split").count().collect()} == {("train", 7), ("test", 3)}
+    assert spark.read.json(str(tmp_path / "p" / "metadata")).first().names == ["x", "y"]
+    files.save_baseline(df, "x", str(tmp_path / "b"))
+    assert files.baseline(spark, str(tmp_path / "b")).agg(F.sum("n")).first()[0] == 10 and files.baseline(spark, str(tmp_path / "none")).count() == 0
+    alerts = spark.createDataFrame([("a", "CRITICAL"), ("b", "MEDIUM"), ("c", None)], "address string, severity string")
+    assert {(r.key, r.topic) for r in messages.alert_messages(alerts, "severity", "address", ["address", "severity"]).collect()} == {("a", "alerts.critical"), ("b", "alerts.high"), ("c", "alerts.high")}
+
+
+def test_alert_store(spark, tmp_path):
+    from chainweft.sources.store import AlertStore
+
+    store = AlertStore(spark, str(tmp_path / "s"))
+    assert store.rows().count() == 0 and store.recent(3).count() == 0
+    make = lambda low: spark.createDataFrame([(k, f"k{k % 3}", ["HIGH", "LOW"][k % 2], 0.5, 1000 * k if k else None) for k in range(low, low + 6)], "n long, key string, severity string, score double, created_at long")
+    store.save(make(0), "n")
+    store.save(make(6), "n")
+    assert sorted(r.id for r in store.rows().collect()) == list(range(1, 13))
+    assert [r.id for r in store.recent(2).collect()] == [12, 11] and [r.id for r in store.recent(2, "HIGH").collect()] == [11, 9]
+    assert store.history(spark.createDataFrame([("k1",)], "key string")).count() == 4
+    assert {(r.severity, r.total, r.last_day) for r in store.statistics(90_000, ["HIGH", "LOW", "CRITICAL"]).collect()} == {("HIGH", 6, 4), ("LOW", 6, 4), ("CRITICAL", 0, 0), (None, 12, 8)}

@@ -51,7 +51,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_rate_limit(spark, tmp_path):
-    calls = [(k, "a" if k % 3 else "b", float(k)) for k in range(30)] + [(30, "a", 100.0)]
+    calls = [(k, "a" if k % 3 else "b", float(T0 + k)) for k in range(30)] + [(30, "a", float(T0 + 100))]
     df = spark.createDataFrame(calls, "seq long, k string, t double")
     df.coalesce(1).write.parquet(str(tmp_path / "c"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "c"))
@@ -72,5 +72,83 @@ def test_windows_sessions_and_scores(spark, tmp_path):
     assert counts.agg({"n": "sum"}).first()[0] == 40
     runs = sorted(r.n for r in pipelines.run_to_end(pipelines.sessions(read(), "at", "k", "30 minutes", "1 hour"), "complete").collect())
     assert runs == [19, 21]
-    last = pipelines.run_to_end(pipelines.last_scores(read(), "k", "seq", "score", 5), "update").collect()
+    last = pipelines.run_to_end(pipelines.last_scores(read(), "k", "seq", "score", "at", 5), "update", ["k"]).collect()
     assert [round(s, 2) for s in last[-1].scores] == [0.35, 0.36, 0.37, 0.38, 0.39]
+
+
+def parts(df, tmp_path, n=3):
+    """The rows as ``n`` files in order."""
+    for k in range(n):
+        df.where(f"seq % {n} = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "parts"))
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "parts"))
+
+
+def test_results_of_several_micro_batches(spark, tmp_path):
+    df = spark.sql(f"SELECT id AS seq, concat('k', id % 2) AS k, timestamp_seconds({T0} + id) AS at, id AS v FROM range(30)")
+    whole = pipelines.run_to_end(pipelines.windowed_counts(parts(df, tmp_path / "a"), "at", "k", "1 hour", "1 day"), "complete")
+    assert {(r.k, r.n) for r in whole.collect()} == {("k0", 15), ("k1", 15)}
+    for mode in ("complete", "update"):
+        latest = pipelines.run_to_end(pipelines.latest_state(parts(df, tmp_path / mode), "k", "seq", "v"), mode, ["k"])
+        assert {tuple(r) for r in latest.collect()} == {("k0", 28, 14), ("k1", 29, 14)}
+    kept = pipelines.run_to_end(pipelines.distinct_messages(parts(df.unionAll(df.selectExpr("seq + 1", "k", "at", "v")).withColumn("name", df["v"].cast("string")), tmp_path / "d"), "name", "at", "1 day"))
+    assert kept.count() == 30
+    with pytest.raises(ValueError):
+        pipelines.run_to_end(parts(df, tmp_path / "u"), "update")
+
+
+def test_drift_of_the_last_scores(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    scores = [float(x) for x in rng.beta(2, 5, 400)]
+    df = spark.createDataFrame([(i, "m", s) for i, s in enumerate(scores)], "seq long, k string, score double").selectExpr("*", f"timestamp_seconds({T0} + seq) AS at")
+    base = (np.histogram(rng.beta(2, 4, 1000), bins=10, range=(0, 1))[0] / 1000).tolist()
+    for k in range(3):
+        df.where(f"seq div 150 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = {r.upto: (r.n, r.psi) for r in pipelines.run_to_end(pipelines.score_drift(stream, "k", "seq", "score", "at", base, 150, 100, 50)).collect()}
+    assert sorted(got) == [99, 149, 199, 249, 299, 349, 399]
+    for upto, (n, psi) in got.items():
+        last = scores[max(0, upto - 149) : upto + 1]
+        live = np.maximum(np.histogram(last, bins=10, range=(0, 1))[0] / len(last), 1e-6)
+        want = float(np.sum((live - np.maximum(base, 1e-6)) * np.log(live / np.maximum(base, 1e-6))))
+        assert n == len(last) and psi == pytest.approx(want)
+
+
+def test_arrival_history_equals_brute_force():
+    rng = np.random.default_rng(9)
+    history, held = ArrivalHistory(100), []
+    for _ in range(800):
+        t, v = float(rng.integers(3000)) if rng.random() < 0.1 else float(len(held) + rng.integers(900)), float(rng.integers(50))
+        held = [(u, w) for u, w in [*held, (t, v)] if u >= t - 100]
+        times = sorted(u for u, _ in held)
+        assert history.add(t, v) == (len(held), sum(w for _, w in held), t - times[-2] if len(times) > 1 else -1.0)
+
+
+def test_arrivals_are_cut_at_gaps(spark):
+    data = rows(6) + [(1000 + i, "s0", T0 + 10 * 86400 * (i // 20) + i, Decimal(1), 1.0) for i in range(100)]
+    got = {r.seq: tuple(r)[1:] for r in arrival_activity(spark.createDataFrame(data, SCHEMA).repartition(3), "sender", "block_timestamp", "seq", "value_eth").collect()}
+    histories = {}
+    for i, s, t, _, v in data:
+        assert got[i] == histories.setdefault(s, ArrivalHistory(3600)).add(float(t), v)
+
+
+def test_messages_are_consumed_at_least_once(spark, tmp_path):
+    from chainweft.sources import messages
+
+    values = [('{"tx_hash": "0x%d", "gas": %d}' % (k, k), k) for k in range(9)] + [("{broken", 9), (None, 10)]
+    df = spark.createDataFrame(values, "value string, seq long")
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m" / "parts"))
+    parts(df, tmp_path / "m")
+    good, bad, fails = [], [], [1]
+
+    def handle(batch):
+        if len(good) >= 3 and fails:
+            fails.pop()
+            raise ConnectionError
+        good.extend(r.gas for r in batch.collect())
+
+    run = lambda: pipelines.consume(stream(), handle, lambda b: bad.extend(r.value for r in b.collect()), str(tmp_path / "checkpoint"))
+    with pytest.raises(Exception):
+        run().awaitTermination()
+    assert len(good) == 3
+    run().awaitTermination()
+    assert sorted(good) == list(range(9)) and set(bad) == {"{broken", None} and messages.PAYLOAD
