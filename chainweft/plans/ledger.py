@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainweft.functions.identity import address, ether
 from chainweft.operators import crosschain, distribution, graph, transactions, velocity
+from chainweft.session import WrittenTables
 from chainweft.sources.tables import table
 
 THRESHOLDS = [round(0.05 * k, 2) for k in range(1, 20)]
 GAS_BUCKETS = [21000, 50000, 100000, 200000, 500000, 1000000]
 
 
+#: Paths of distinct tables that ``share_distinct`` wrote, by session and folder.
+_SHARED: dict[tuple[str, str], str] = {}
+
+
+def share_distinct(spark: SparkSession, folder: str) -> None:
+    """Writes the distinct transactions of a folder once, for all queries of this session that begin with them."""
+    rows = transactions.distinct_transactions(table(spark, folder, "chain_tx"), transactions.NORMALISED)
+    _SHARED[spark.sparkContext.applicationId, folder] = WrittenTables(spark, "distinct").write(rows)[1]
+
+
 def _tx(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The distinct transactions, from the shared table if there is one, else made anew."""
+    if path := _SHARED.get((spark.sparkContext.applicationId, folder)):
+        return spark.read.parquet(path).select(*columns)
     return transactions.distinct_transactions(table(spark, folder, "chain_tx"), list(columns))
 
 
@@ -119,19 +133,24 @@ def first_counterparties(spark, folder):
 
 
 def ancestors_of_flagged(spark, folder):
-    """Wallets from which a flagged wallet is reached over matched links in at most four steps."""
-    return graph.ancestors(_link_edges(spark, folder), _risk(spark, folder).where("is_flagged"), 4)
+    """Wallets from which a flagged wallet is reached by transactions in at most five steps."""
+    edge, _ = WrittenTables(spark, "edges").write(_edges(spark, folder).select("src", "dst"))
+    return graph.ancestors(edge, _risk(spark, folder).where("is_flagged"), 5)
+
+
+def _first_paths(spark, folder):
+    edge, _ = WrittenTables(spark, "edges").write(_edges(spark, folder).select("src", "dst"))
+    return graph.simple_paths(edge, _risk(spark, folder).where("is_flagged"), 5, 100)
 
 
 def paths_from_flagged(spark, folder):
-    """The first hundred simple paths of at most four steps from each flagged wallet over matched links."""
-    paths = graph.simple_paths(_link_edges(spark, folder), _risk(spark, folder).where("is_flagged"), 4, 100)
-    return paths.select("start", F.concat_ws(">", "path").alias("path"), F.col("hops").cast("long").alias("hops"))
+    """The first hundred simple paths of at most five steps from each flagged wallet."""
+    return _first_paths(spark, folder).select("start", F.concat_ws(">", "path").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
 def path_flow_links(spark, folder):
-    """How many of those paths of up to three steps use each link."""
-    return graph.path_links(graph.simple_paths(_link_edges(spark, folder), _risk(spark, folder).where("is_flagged"), 3))
+    """How many of those paths use each link."""
+    return graph.path_links(_first_paths(spark, folder))
 
 
 def risk_spread(spark, folder):
@@ -153,7 +172,8 @@ def neighbour_sample(spark, folder):
 
 def neighbour_means(spark, folder):
     """Mean risk of the wallets that sent to each wallet."""
-    rows = graph.neighbour_means(_edges(spark, folder), _risk(spark, folder).select("address", "risk"), ["risk"])
+    edge, _ = WrittenTables(spark, "edges").write(_edges(spark, folder).select("src", "dst"))
+    rows = graph.neighbour_means(edge, _risk(spark, folder).select("address", "risk"), ["risk"])
     return rows.withColumn("risk", F.round("risk", 12))
 
 
@@ -200,6 +220,38 @@ def running_chains(spark, folder):
     return crosschain.running_chains(_tx(spark, folder, "seq", "chain", "sender", "recipient"))
 
 
+def _registry(spark, folder):
+    """Known contracts: wallets with a label, mixers in the place of bridges and contracts in that of assets."""
+    label = F.lower(F.trim("entity_label"))
+    known = table(spark, folder, "wallets").where(label.isin("mixer", "contract"))
+    return known.select(F.lower("address").alias("address"), F.when(label == "mixer", F.concat(F.lit("mixer "), F.substring(F.lower("address"), 3, 6))).alias("bridge"), F.when(label == "contract", F.concat(F.lit("asset "), F.substring(F.lower("address"), 3, 6))).alias("asset"))
+
+
+def chain_flags(spark, folder):
+    """What each transaction shows as it arrives: contact with registered contracts and activity on several chains."""
+    return crosschain.observed(_tx(spark, folder, "seq", "chain", "sender", "recipient"), _registry(spark, folder)).select("seq", "bridge", "actor", "asset", "chains")
+
+
+def chain_actors(spark, folder):
+    """Registered contracts that each wallet touched."""
+    return crosschain.actor_summary(crosschain.observed(_tx(spark, folder, "seq", "chain", "sender", "recipient"), _registry(spark, folder)))
+
+
+def chain_stats(spark, folder):
+    """Seven numbers on activity across chains."""
+    return crosschain.chain_summary(_tx(spark, folder, "seq", "chain", "sender", "recipient"), _registry(spark, folder))
+
+
+def sustained_hours(spark, folder):
+    """Runs of at least three hours in a row in which a chain has more than half as many transactions as in its busiest one."""
+    tx = _tx(spark, folder, "chain", "block_timestamp")
+    hours = tx.groupBy("chain", F.floor(F.col("block_timestamp") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("chain")  # one row for each hour
+    high = hours.withColumn("top", F.max("n").over(by)).where(F.col("n") > 0.5 * F.col("top"))
+    runs = high.withColumn("run", F.col("hour") - F.row_number().over(by.orderBy("hour")))
+    return runs.groupBy("chain", "run").agg(F.min("hour").alias("start"), F.count(F.lit(1)).alias("hours")).where(F.col("hours") >= 3).select("chain", "start", "hours")
+
+
 def cross_chain_summary(spark, folder):
     """Wallets, those on several chains, and calls of bridge methods, in one row."""
     chains = crosschain.chains_by_address(_tx(spark, folder, "seq", "chain", "sender", "recipient"))
@@ -300,7 +352,7 @@ def precision_threshold(spark, folder):
     return distribution.precision_threshold(_scored(spark, folder), "risk", F.col("is_flagged"), 0.3)
 
 
-_NAMES = [tx_normalized, tx_distinct, tx_log_summary, velocity_1h, velocity_24h, velocity_on_arrival, last_row_per_sender, gas_percentile, value_stats_by_chain, wallet_totals, edge_totals, wallet_degrees, graph_size, round_trips_day, round_trips_week, first_counterparties, ancestors_of_flagged, paths_from_flagged, path_flow_links, risk_spread, group_risk, neighbour_sample, neighbour_means, edge_index, communities, community_quality, chains_by_address, multi_chain_wallets, registry_hits, activity_boost, running_chains, cross_chain_summary, calls_by_category, watchlist_rows, unlisted_senders, top_senders, rate_5m, mean_shift_24h, le_buckets, bucket_quantile, score_histogram, score_drift, threshold_sweep, best_threshold, ranked_quality, precision_threshold]
+_NAMES = [tx_normalized, tx_distinct, tx_log_summary, velocity_1h, velocity_24h, velocity_on_arrival, last_row_per_sender, gas_percentile, value_stats_by_chain, wallet_totals, edge_totals, wallet_degrees, graph_size, round_trips_day, round_trips_week, first_counterparties, ancestors_of_flagged, paths_from_flagged, path_flow_links, risk_spread, group_risk, neighbour_sample, neighbour_means, edge_index, communities, community_quality, chains_by_address, multi_chain_wallets, registry_hits, activity_boost, running_chains, chain_flags, chain_actors, chain_stats, sustained_hours, cross_chain_summary, calls_by_category, watchlist_rows, unlisted_senders, top_senders, rate_5m, mean_shift_24h, le_buckets, bucket_quantile, score_histogram, score_drift, threshold_sweep, best_threshold, ranked_quality, precision_threshold]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _HEX = "regexp_replace(lower(trim({0})), '^0x', '')"
@@ -319,6 +371,12 @@ CHAINS = TX + ", side AS (SELECT seq, chain, sender AS address FROM tx UNION ALL
 HITS = ", hits AS (SELECT sender AS address, count(*) FILTER (category = 'bridge') AS bridge_hits, count(*) FILTER (category = 'staking') AS staking_hits FROM tx JOIN methods m ON lower(m.selector) = tx.selector WHERE sender IS NOT NULL GROUP BY 1)"
 _WIN = "OVER (PARTITION BY sender ORDER BY block_timestamp RANGE BETWEEN {0} PRECEDING AND CURRENT ROW)"
 _GAP = "block_timestamp - lag(block_timestamp) OVER (PARTITION BY sender ORDER BY block_timestamp, seq)"
+_OBSERVED = CHAINS + """, reg AS (SELECT lower(address) AS address, CASE WHEN lower(trim(entity_label)) = 'mixer' THEN 'mixer ' || substr(lower(address), 3, 6) END AS bridge, CASE WHEN lower(trim(entity_label)) = 'contract' THEN 'asset ' || substr(lower(address), 3, 6) END AS asset FROM wallets WHERE lower(trim(entity_label)) IN ('mixer', 'contract')),
+since AS (SELECT address, chain, min(seq) AS s FROM side WHERE address IS NOT NULL AND chain IS NOT NULL GROUP BY 1, 2),
+seen AS (SELECT tx.seq, string_agg(since.chain, ',' ORDER BY since.chain) AS chains FROM tx JOIN since ON since.address = tx.sender AND since.s <= tx.seq GROUP BY 1 HAVING count(*) > 1),
+obs AS (SELECT tx.seq, tx.sender, coalesce(t.bridge, f.bridge) AS bridge, CASE WHEN t.bridge IS NOT NULL THEN tx.sender WHEN f.bridge IS NOT NULL THEN tx.recipient END AS actor, CASE WHEN tx.sender IS NOT NULL THEN t.asset END AS asset, seen.chains
+ FROM tx LEFT JOIN reg t ON t.address = tx.recipient LEFT JOIN reg f ON f.address = tx.sender LEFT JOIN seen USING (seq)),
+act AS (SELECT address, count(bridge) AS bridge_hits, coalesce(string_agg(DISTINCT bridge, ',' ORDER BY bridge), '') AS bridges, count(asset) AS asset_hits FROM (SELECT actor AS address, bridge, NULL AS asset FROM obs UNION ALL SELECT CASE WHEN asset IS NOT NULL THEN sender END, NULL, asset FROM obs) WHERE address IS NOT NULL GROUP BY 1)"""
 _BIN20 = " + ".join(f"(risk >= {round(0.05 * k, 12)})::INT" for k in range(1, 20))
 _BIN10 = " + ".join(f"(gas_price_percentile >= {round(0.1 * k, 12)})::INT" for k in range(1, 10))
 _STEPS = ", ".join(f"({t})" for t in THRESHOLDS)
@@ -327,8 +385,10 @@ _SWEEP = f"""{RISK}, cell AS (SELECT t::DOUBLE AS threshold, count(*) FILTER (ri
 sweep AS (SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 4) AS accuracy FROM cell)"""
 _CURVE = f"""{RISK}, cnt AS (SELECT risk, count(*) FILTER (is_flagged) AS p, count(*) FILTER (NOT is_flagged) AS n FROM risk WHERE risk IS NOT NULL GROUP BY 1),
 curve AS (SELECT risk, p, n, sum(p) OVER (ORDER BY risk DESC) AS up, sum(n) OVER (ORDER BY risk DESC) AS un FROM cnt)"""
-_PATHS = f"""WITH RECURSIVE {LINK}, {RISK}, walk(start, path, node, hops) AS (SELECT address, [address], address, 0 FROM (SELECT DISTINCT address FROM risk WHERE is_flagged)
- UNION ALL SELECT w.start, list_append(w.path, l.dst), l.dst, w.hops + 1 FROM walk w JOIN link l ON l.src = w.node WHERE w.hops < {{0}} AND NOT list_contains(w.path, l.dst))"""
+_PATHS = f"""WITH RECURSIVE {EDGE}, {RISK}, walk(start, path, node, hops) AS (SELECT address, [address], address, 0 FROM (SELECT DISTINCT address FROM risk WHERE is_flagged)
+ UNION ALL SELECT w.start, list_append(w.path, l.dst), l.dst, w.hops + 1 FROM walk w JOIN edge l ON l.src = w.node WHERE w.hops < 5 AND NOT list_contains(w.path, l.dst)
+ QUALIFY row_number() OVER (PARTITION BY w.start ORDER BY list_append(w.path, l.dst)) <= 100),
+first AS (SELECT * FROM walk WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, path) <= 100)"""
 
 ORACLES = {
     "tx_normalized": f"WITH {NORM} SELECT seq, tx_hash, block_number, block_timestamp, sender, recipient, round(value_eth, 9) AS value_eth, round(log_value_eth, 9) AS log_value_eth, is_high_value, gas, round(gas_price_gwei, 9) AS gas_price_gwei, selector, input_length, is_creation, is_call, chain FROM norm",
@@ -346,9 +406,9 @@ ORACLES = {
     "round_trips_day": f"WITH {EDGE} SELECT o.src AS address, o.dst AS intermediate, o.last_time AS time_out, b.last_time AS time_in, b.last_time - o.last_time AS round_trip_s, round(b.value_wei::DOUBLE / 1e18, 9) AS value_eth FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 86400",
     "round_trips_week": f"WITH {EDGE} SELECT o.src AS address, o.dst AS intermediate, b.last_time - o.last_time AS round_trip_s FROM edge o JOIN edge b ON b.src = o.dst AND b.dst = o.src WHERE b.last_time - o.last_time > 0 AND b.last_time - o.last_time < 604800",
     "first_counterparties": f"WITH {EDGE} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY first_seq, dst)::INT AS place FROM edge QUALIFY place <= 10",
-    "ancestors_of_flagged": f"WITH RECURSIVE {LINK}, {RISK}, up(address, hops) AS (SELECT address, 0 FROM risk WHERE is_flagged UNION SELECT l.src, u.hops + 1 FROM up u JOIN link l ON l.dst = u.address WHERE u.hops < 4) SELECT address, min(hops)::INT AS hops FROM up GROUP BY 1 HAVING min(hops) > 0",
-    "paths_from_flagged": _PATHS.format(4) + " SELECT start, array_to_string(path, '>') AS path, hops::BIGINT AS hops FROM walk WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, path) <= 100",
-    "path_flow_links": _PATHS.format(3) + " SELECT start, path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM walk, range(1, 4) r(i) WHERE i <= hops GROUP BY ALL",
+    "ancestors_of_flagged": f"WITH RECURSIVE {EDGE}, {RISK}, up(address, hops) AS (SELECT address, 0 FROM risk WHERE is_flagged UNION SELECT l.src, u.hops + 1 FROM up u JOIN edge l ON l.dst = u.address WHERE u.hops < 5) SELECT address, min(hops)::INT AS hops FROM up GROUP BY 1 HAVING min(hops) > 0",
+    "paths_from_flagged": _PATHS + " SELECT start, array_to_string(path, '>') AS path, hops::BIGINT AS hops FROM first",
+    "path_flow_links": _PATHS + " SELECT start, path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM first, range(1, 6) r(i) WHERE i <= hops GROUP BY ALL",
     "risk_spread": f"WITH {EDGE}, {RISK}, up AS (SELECT src AS address, max(risk) * 0.5 AS r FROM edge JOIN risk ON risk.address = edge.dst AND is_flagged GROUP BY 1) SELECT address, round(greatest(risk, r), 6) AS risk FROM risk LEFT JOIN up USING (address)",
     "group_risk": f"WITH {RISK}, top AS (SELECT cluster_id, max(risk) AS group_risk FROM risk WHERE cluster_id IS NOT NULL GROUP BY 1) SELECT address, cluster_id, round(group_risk, 6) AS group_risk, round(CASE WHEN group_risk > 0.5 THEN greatest(risk, group_risk * 0.7) ELSE risk END, 6) AS risk FROM risk LEFT JOIN top USING (cluster_id)",
     "neighbour_sample": f"WITH {EDGE} SELECT dst, src FROM edge QUALIFY row_number() OVER (PARTITION BY dst ORDER BY sha256('0|' || src || '|' || dst), src) <= 5",
@@ -359,6 +419,14 @@ ORACLES = {
     "registry_hits": f"WITH {TX}{HITS} SELECT * FROM hits",
     "activity_boost": f"WITH {CHAINS}{HITS} SELECT address, CASE WHEN coalesce(bridge_hits, 0) > 0 AND n_chains > 1 THEN 1.4 WHEN coalesce(bridge_hits, 0) > 0 THEN 1.25 WHEN n_chains > 1 THEN 1.15 WHEN coalesce(staking_hits, 0) > 0 THEN 1.08 ELSE 1.0 END::DOUBLE AS boost FROM chains LEFT JOIN hits USING (address)",
     "running_chains": f"WITH {CHAINS}, since AS (SELECT address, chain, min(seq) AS s FROM side WHERE address IS NOT NULL AND chain IS NOT NULL GROUP BY 1, 2) SELECT tx.seq, tx.sender, count(*) AS chains_so_far FROM tx JOIN since ON since.address = tx.sender AND since.s <= tx.seq GROUP BY 1, 2",
+    "chain_flags": f"WITH {_OBSERVED} SELECT seq, bridge, actor, asset, chains FROM obs",
+    "chain_actors": f"WITH {_OBSERVED} SELECT * FROM act",
+    "chain_stats": f"WITH {_OBSERVED} SELECT (SELECT count(*) FROM chains) AS wallets, (SELECT count(*) FROM chains WHERE n_chains > 1) AS multi_chain, (SELECT count(*) FROM act WHERE bridge_hits > 0) AS bridge_wallets, (SELECT coalesce(sum(bridge_hits), 0)::BIGINT FROM act) AS bridge_hits, (SELECT coalesce(sum(asset_hits), 0)::BIGINT FROM act) AS asset_hits, (SELECT count(bridge) FROM reg) AS known_bridges, (SELECT count(asset) FROM reg) AS known_assets",
+    "sustained_hours": f"WITH {TX}, h AS (SELECT chain, block_timestamp // 3600 AS hour, count(*) AS n FROM tx GROUP BY 1, 2), high AS (SELECT chain, hour FROM h QUALIFY n > 0.5 * max(n) OVER (PARTITION BY chain)), r AS (SELECT chain, hour, hour - row_number() OVER (PARTITION BY chain ORDER BY hour) AS run FROM high) SELECT chain, min(hour) AS start, count(*) AS hours FROM r GROUP BY chain, run HAVING count(*) >= 3",
+    "velocity_on_arrival": f"""WITH {NORM}, r AS (SELECT seq, sender, block_timestamp AS t, round(value_eth * 1e9)::HUGEINT AS v FROM norm WHERE sender IS NOT NULL),
+e AS (SELECT a.seq, a.sender, a.t, a.v, min(b.seq) AS gone FROM r a LEFT JOIN r b ON b.sender = a.sender AND b.seq > a.seq AND b.t > a.t + 3600 GROUP BY ALL),
+s AS (SELECT i.seq, i.t, count(*) AS n, sum(j.v) AS v, list_reverse_sort(list(j.t)) AS ts FROM r i JOIN e j ON j.sender = i.sender AND j.seq <= i.seq AND (j.gone IS NULL OR j.gone > i.seq) GROUP BY 1, 2)
+SELECT seq, n AS tx_count, v::DOUBLE / 1e9 AS value_sum, CASE WHEN n > 1 THEN t - ts[2] ELSE -1 END::DOUBLE AS since_last FROM s""",
     "cross_chain_summary": f"WITH {CHAINS}{HITS} SELECT count(*) AS wallets, count(*) FILTER (n_chains > 1) AS multi_chain, (SELECT count(*) FROM hits WHERE bridge_hits > 0) AS bridge_users, (SELECT coalesce(sum(bridge_hits), 0)::BIGINT FROM hits) AS bridge_calls FROM chains",
     "calls_by_category": f"WITH {TX} SELECT coalesce(category, 'none') AS category, count(tx.seq) AS n FROM methods m LEFT JOIN tx ON tx.selector = lower(m.selector) GROUP BY 1",
     "watchlist_rows": f"WITH {TX}, {RISK} SELECT seq, sender FROM tx WHERE sender IN (SELECT address FROM risk WHERE is_flagged)",
