@@ -110,7 +110,7 @@ class ItemIndex:
                     # wording that several items share makes no window by itself
                     known = np.concatenate([[0.0], np.cumsum(own)])
                     keep = known[size:] - known[:-size] > 1e-9
-                    prints.append(self._windows(self._sums(words, self._parts(parts[tuple(words)], size)), size, 1)[keep])
+                    prints.append(self._windows(self._sums(self._signs(words), self._parts(parts[tuple(words)], size)), size, 1)[keep])
                     owner.append(np.full(int(keep.sum()), k, np.int32))
             self._add(size, np.concatenate(prints), np.concatenate(owner))
             size *= 2
@@ -132,17 +132,24 @@ class ItemIndex:
         """Weights for windows of a size: all alike in the smallest, which must be met whatever separates a number's parts."""
         return [1.0] * len(weights) if size == WINDOW else weights
 
-    def _sums(self, words: list[str], weights: list[float]) -> np.ndarray:
-        """Running sums of the weighted signs of each bit, one row more than there are words."""
+    def _signs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The signs of each bit of the different words, which of those each word is, and how much it weighs."""
         number: dict[str, int] = {}
         at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
         digest = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
         signs = np.unpackbits(digest.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
         rare = np.array([2 if w in self.common else 3 for w in number], np.float32)
+        return signs, at, rare[at]
+
+    @staticmethod
+    def _sums(signed: tuple[np.ndarray, np.ndarray, np.ndarray], weights: list[float]) -> np.ndarray:
+        """Running sums of the weighted signs of each bit, one row more than there are words."""
+        signs, at, rare = signed
         # whole numbers, so that sums don't depend on where they begin
-        weigh = np.maximum(1, np.rint(60 * np.array(weights, np.float32) * rare[at])).astype(np.int32)
-        out = np.zeros((len(words) + 1, BITS), np.int32)
-        np.cumsum(signs[at] * weigh[:, None], axis=0, out=out[1:])
+        weigh = np.maximum(1, np.rint(60 * np.array(weights, np.float32) * rare)).astype(np.int32)
+        out = np.zeros((len(at) + 1, BITS), np.int32)
+        np.multiply(signs[at], weigh[:, None], out=out[1:])
+        np.cumsum(out[1:], axis=0, out=out[1:])
         return out
 
     @staticmethod
@@ -153,12 +160,12 @@ class ItemIndex:
     def near(self, words: list[str], weights: list[float], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, size, text) of all pairs of a window and an item's window no more than ``radius`` bits apart."""
         places, lengths, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        sums = None
+        signed, sums = self._signs(words) if len(words) >= WINDOW else None, None
         for size, (own, owner, blocks) in self.sizes.items():
             if len(words) < size or not len(own):
                 continue
             if size <= 2 * WINDOW:  # one for the smallest size, one for all others
-                sums = self._sums(words, self._parts(weights, size))
+                sums = self._sums(signed, self._parts(weights, size))
             step = max(1, size // PARTS)
             prints = self._windows(sums, size, step)
             for b, (order, starts) in enumerate(blocks):

@@ -52,14 +52,15 @@ def tokens(text: str | None) -> list[str]:
 
 def weighted_tokens(text: str | None) -> tuple[list[str], list[float]]:
     """The tokens, each with the part of a word that it is: a number in several parts is one word."""
+    pieces = _PIECE.findall(plain(text or ""))
     words: list[str] = []
     weights: list[float] = []
-    for piece in _PIECE.findall(plain(text or "")):
-        if "," in piece or "." in piece:
-            parts = _SEPARATOR.split(piece)
-            words += parts
-            weights += [1.0 / len(parts)] * len(parts)
-        else:
-            words.append(piece)
-            weights.append(1.0)
+    last = 0
+    for k in [k for k, piece in enumerate(pieces) if "," in piece or "." in piece] + [len(pieces)]:
+        words += pieces[last:k]
+        weights += [1.0] * (k - last)
+        parts = _SEPARATOR.split(pieces[k]) if k < len(pieces) else []
+        words += parts
+        weights += [1.0 / len(parts)] * len(parts) if parts else []
+        last = k + 1
     return words, weights
