@@ -50,6 +50,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in pipelines.run_to_end(pipelines.velocity(stream)).collect()} == want
 
 
+def test_many_senders_share_few_groups_of_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    data = [(i, f"s{rng.integers(600)}", T0 + i // 500 * 40 * 86400 + int(rng.integers(9000)), None, float(rng.integers(100)) if i % 7 else None) for i in range(2000)]
+    data += [(2000 + i, f"s{i % 3}", data[1500][2] + 60 * i, None, 2.5) for i in range(100)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for k in range(5):
+        df.where(f"seq div 500 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "v"))
+    query = pipelines.velocity(stream).writeStream.format("memory").queryName("many_senders").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {tuple(r) for r in arrival_activity(df, "sender", "block_timestamp", "seq", "value_eth").collect()}
+    assert {tuple(r) for r in spark.table("many_senders").collect()} == want and len(want) == 2100
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 256
+
+
 def test_rate_limit(spark, tmp_path):
     calls = [(k, "a" if k % 3 else "b", float(T0 + k)) for k in range(30)] + [(30, "a", float(T0 + 100))]
     df = spark.createDataFrame(calls, "seq long, k string, t double")
