@@ -342,7 +342,7 @@ def drawing_widths(spark, folder):
 def stream_velocity(spark, folder):
     """``velocity_on_arrival`` as a stream."""
     rows = transactions.normalise(pipelines.stream_of(spark, folder, "chain_tx", "seq"))
-    return pipelines.run_to_end(pipelines.velocity(rows))
+    return pipelines.run_to_end(pipelines.velocity(rows), partitions=2 * spark.sparkContext.defaultParallelism)
 
 
 def stream_distinct(spark, folder):

@@ -45,11 +45,12 @@ def stream_of(spark: SparkSession, folder: str, name: str, order: str, parts: in
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Runs a query over what is there now, batch by batch into written tables, and returns its result table.
 
     In ``complete`` mode that is the last batch's output, in ``update`` mode the latest row of each of ``keys``, in
-    ``append`` mode the rows of all batches.
+    ``append`` mode the rows of all batches. State has no more than ``partitions`` partitions: each is a task, a version of
+    its store and a file of output in every micro-batch, however few rows that has.
     """
     spark = stream.sparkSession
     if mode == "update" and not keys:
@@ -62,7 +63,12 @@ def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None =
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
         written.append(number)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{tables.root}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # a query has its own copy of the settings once it has started
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(usual), partitions or int(usual))))
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{tables.root}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     query.awaitTermination()
     batches = sorted(set(written))
     if not batches:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from chainweft.operators.velocity import ArrivalHistory, arrival_activity, recent_activity
+from chainweft.plans import models
 from chainweft.streaming import pipelines
 
 SCHEMA = "seq long, sender string, block_timestamp long, value_wei decimal(38,0), value_eth double"
@@ -65,6 +66,19 @@ def test_many_senders_share_few_groups_of_a_stream(spark, tmp_path):
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 256
 
 
+def test_state_of_a_stream_is_cut_by_cores_not_by_the_setting(spark, sf_dir):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        got = models.stream_velocity(spark, sf_dir)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "96"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    batches = {f.rpartition("/")[0] for f in got.inputFiles()}
+    assert len(batches) >= 3 and len(got.inputFiles()) <= len(batches) * 2 * spark.sparkContext.defaultParallelism
+    assert got.count() == spark.read.parquet(f"{sf_dir}/chain_tx.parquet").where("length(from_addr) > 0").count()
+
+
 def test_rate_limit(spark, tmp_path):
     calls = [(k, "a" if k % 3 else "b", float(T0 + k)) for k in range(30)] + [(30, "a", float(T0 + 100))]
     df = spark.createDataFrame(calls, "seq long, k string, t double")
